@@ -273,12 +273,13 @@ def train(texts: list[str], rounds: int = 80, l2: float = 1e-3, seed: int = 7) -
 
 
 def fit(docs: DataFrame, sample_rows: int = 1500) -> Crf:
-    """Train on at most 2 * sample_rows texts: half hold a sign of assignment, half are any rows."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    some = docs.select("doc_id", text.alias("text"))
-    signs = hash_sample(some.where(F.contains("text", F.lit("=")) & (F.length("text") < 20000)), "doc_id", sample_rows)
-    rest = hash_sample(some.where(F.length("text") < 20000), "doc_id", sample_rows // 4, 18)
-    return train([r.text for r in signs.union(rest).collect()])
+    """Train on at most 1.25 * sample_rows texts: most hold a sign of assignment, the others are any rows."""
+    short = docs.where(F.length("text") < 20000)
+    # Ids are chosen first, so that no texts meet in one task; there are 1.25 * sample_rows at most.
+    signs = hash_sample(short.where(F.contains("text", F.lit("="))).select("doc_id"), "doc_id", sample_rows)
+    rest = hash_sample(short.select("doc_id"), "doc_id", sample_rows // 4, 18)
+    ids = signs.union(rest).distinct()
+    return train([r.text for r in docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()])
 
 
 def scan(text: str, model: Crf) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
