@@ -209,7 +209,7 @@ class Compiler:
             # Through bigint only where that is exact; larger ones are whole already. Zero keeps its sign.
             down = F.floor(c).cast("double")
             up = {"FLOOR": down, "CEIL": F.ceil(c).cast("double"), "ROUND": down + F.when(c - down >= 0.5, 1.0).otherwise(0.0)}[op]
-            return k, F.when(F.isnan(c) | (F.abs(c) >= 2.0**52), c).when((up == 0) & (c < 0), F.lit(-0.0)).otherwise(up)
+            return k, F.when(F.isnan(c) | (c == 0) | (F.abs(c) >= 2.0**52), c).when((up == 0) & (c < 0), F.lit(-0.0)).otherwise(up)
         if op in ("YEAR", "MONTH", "DAY", "HOURS", "MINUTES") and k == "dateTime":
             return "integer", {"YEAR": F.year, "MONTH": F.month, "DAY": F.day, "HOURS": F.hour, "MINUTES": F.minute}[op](c)
         if op == "TZ" and k == "dateTime":
@@ -225,10 +225,11 @@ class Compiler:
             return "boolean", as_ebv((k, c))
         if not strings:
             if op == "SUBSTR" and k == "string" and all(x == "integer" for x in kinds[1:]):
-                start = cols[1].cast("bigint") - 1
-                end = start + cols[2].cast("bigint") if len(cols) == 3 else F.length(c)
-                low = F.greatest(start, F.lit(0))
-                return "string", F.when(start.isNotNull() & end.isNotNull() & c.isNotNull(), F.substr(c, (low + 1).cast("int"), F.greatest(F.least(end, F.length(c)) - low, F.lit(0)).cast("int")))
+                # Positions clip to the string before they become machine integers.
+                start = whole(cols[1]) - 1
+                end = start + whole(cols[2]) if len(cols) == 3 else whole(F.length(c))
+                clip = lambda x: F.least(F.greatest(x, F.lit(0)), F.length(c)).cast("int")
+                return "string", F.when(start.isNotNull() & end.isNotNull() & c.isNotNull(), F.substr(c, clip(start) + 1, F.greatest(clip(end) - clip(start), F.lit(0))))
             return None
         if op == "STRLEN":
             return "integer", F.length(c).cast("bigint")
@@ -281,6 +282,8 @@ class Compiler:
         context = self.context
 
         def one(ks: tuple) -> object:
+            if any(k is None for k in ks):  # Spark may run this before the filter that drops such a row
+                return None
             try:
                 t = exact.evaluate(e, {n: term(k) for n, k in zip(names, ks, strict=True)}, context, site)
                 return ebv(t) if as_boolean else key(t)

@@ -54,7 +54,7 @@ def test_datasets():
 
 def test_jsonld():
     g = parse_data(json.dumps({"@context": {"@vocab": "http://v/", "n": {"@type": "@id"}, "l": {"@container": "@list"}, "t": {"@container": "@language"}}, "@graph": [{"@id": "http://s", "@type": "T", "a": [1, 2.5, True, {"@value": "x", "@language": "fr"}], "n": "http://o", "l": [1], "t": {"en": "hi"}, "k": {"b": "y"}}]}), "jsonld")
-    assert len(g) == 11 and (IRI("http://s"), IRI("http://v/a"), Literal("x", "fr")) in g and (IRI("http://s"), IRI("http://v/n"), IRI("http://o")) in g
+    assert len(g) == 12 and (IRI("http://s"), IRI("http://v/a"), Literal("x", "fr")) in g and (IRI("http://s"), IRI("http://v/n"), IRI("http://o")) in g
 
 
 def test_merge_and_isomorphism():
