@@ -20,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op7_ngram_join": ngram_join.ORACLE, "op9_mixing": mixing.ORACLE}
