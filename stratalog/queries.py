@@ -39,7 +39,7 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> Source:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         if name == "lineitem":
             # Line numbers repeat, so the whole row is the key.
-            df = df.withColumn(k, F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]), 256))
+            df = df.withColumn(k, F.coalesce(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]), 256), F.lit("")))
         elif name == "conversations":
             df = df.withColumn(k, F.concat_ws("/", "conv_id", "turn")).withColumn("next_id", F.concat_ws("/", "conv_id", F.col("turn") + 1))
             links = {"next_id": name}
