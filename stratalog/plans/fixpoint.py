@@ -158,9 +158,8 @@ class Evaluator:
             dfs = [r.df.select("s", "p", "o") for r in (Relation(_union(d), "key", "key") for d in groups.pop(None, {}).values())]
             for p, kinds in groups.items():
                 dfs += [Relation(_union(d), *k).keyed().select("s", F.lit("I" + p).alias("p"), "o") for k, d in kinds.items()]
-            df = _union(dfs).distinct().join(self.base.everything(), ["s", "p", "o"], "left_anti")
-            for r in self.facts.of(None):
-                df = df.join(r.df, ["s", "p", "o"], "left_anti")
+            had = [self.base.everything(), *[r.df.select("s", "p", "o") for r in self.facts.of(None)]]
+            df = _union(dfs).distinct().join(_union(had), ["s", "p", "o"], "left_anti")
             out[None].append(Relation(df, "key", "key"))
             return out
         for p, kinds in groups.items():
@@ -169,13 +168,13 @@ class Evaluator:
             if len(alike) == 1:
                 (k,) = alike
                 df = _union(kinds[k]).distinct()
-                for r in had:
-                    df = df.join(r.df.select("s", "o"), ["s", "o"], "left_anti")
+                if had:
+                    df = df.join(_union([r.df.select("s", "o") for r in had]), ["s", "o"], "left_anti")
                 out[p].append(Relation(df, *k))
             else:
                 df = _union([Relation(_union(d), *k).keyed() for k, d in kinds.items()]).distinct()
-                for r in had:
-                    df = df.join(r.keyed(), ["s", "o"], "left_anti")
+                if had:
+                    df = df.join(_union([r.keyed() for r in had]), ["s", "o"], "left_anti")
                 out[p].append(Relation(df, "key", "key"))
         return out
 
