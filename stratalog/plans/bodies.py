@@ -85,7 +85,7 @@ class BodyPlanner:
                         break
                     df = df.where(cond)
             if ok:
-                fit.append(replace(r, df=df))
+                fit.append(replace(r, frame=df))
         if not fit:
             return self.spark.createDataFrame([], "s string, o string"), {"s": Slot("key", "s"), "o": Slot("key", "o")}
         typed = len({(r.s_kind, r.o_kind) for r in fit}) == 1

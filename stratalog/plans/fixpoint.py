@@ -184,7 +184,7 @@ class Evaluator:
         for p, rels in new.items():
             for r in rels:
                 if not lazy:
-                    r = replace(r, df=materialize(r.df))
+                    r = replace(r, frame=materialize(r.df))
                     if r.df.isEmpty():
                         continue
                 self.facts.add(p, r)

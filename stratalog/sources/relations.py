@@ -18,7 +18,7 @@ KEYS = "s string, p string, o string"
 class Relation:
     """Triples of one predicate: df has columns s and o of these kinds."""
 
-    df: DataFrame
+    frame: DataFrame | None
     s_kind: str
     o_kind: str
     #: For mapped tables: the table's name and DataFrame, and the object's column; such scans can be fused.
@@ -27,6 +27,14 @@ class Relation:
     subject: Column | None = None
     object: Column | None = None
 
+    @property
+    def df(self) -> DataFrame:
+        """Built when asked for: most columns of a mapped table are never read by a program."""
+        if self.frame is None:
+            rows = self.rows.where(self.subject.isNotNull() & self.object.isNotNull())
+            self.frame = rows.select(self.subject.alias("s"), self.object.alias("o"))
+        return self.frame
+
     def keyed(self) -> DataFrame:
         return self.df.select(key_of(self.s_kind, F.col("s")).alias("s"), key_of(self.o_kind, F.col("o")).alias("o"))
 
@@ -75,13 +83,13 @@ class Source:
 
     def add_mapping(self, m: Mapping) -> None:
         ref = "ref:" + m.subject_prefix
+        subject = F.col(f"`{m.key}`")
         for f in m.df.schema.fields:
-            subject, c = F.col(f"`{m.key}`"), F.col(f"`{f.name}`")
+            c = F.col(f"`{f.name}`")
             for prefix, kind in ((m.column_prefix, kind_of(f.dataType)), (m.link_prefix, "ref:" + m.links[f.name] if f.name in m.links else None)):
                 if kind is not None:
                     value = c.cast("bigint") if kind == "integer" else c
-                    df = m.df.where(subject.isNotNull() & c.isNotNull()).select(subject.alias("s"), value.alias("o"))
-                    self.by_predicate.setdefault(prefix + f.name, []).append(Relation(df, ref, kind, m.name, m.df, subject, value))
+                    self.by_predicate.setdefault(prefix + f.name, []).append(Relation(None, ref, kind, m.name, m.df, subject, value))
 
     def add_triples(self, triples: Iterable[Triple]) -> None:
         self.local += triples
