@@ -103,7 +103,11 @@ class Compiler:
         if op in ("=", "!="):
             c = self.equal(*e.arguments)
             return None if c is None else ("boolean", c if op == "=" else ~c)
-        if op == "SAMETERM" or op in self.context.functions:
+        if op in self.context.functions:
+            return None
+        if (x := self.by_key(op, e.arguments)) is not None:
+            return x
+        if op == "SAMETERM":
             return None
         args = [self.native(a) for a in e.arguments]
         if any(a is None for a in args):
@@ -114,6 +118,28 @@ class Compiler:
             return self.arithmetic(op, *args) if "double" in (args[0][0], args[1][0]) or self.digits(e) <= 38 else None
         return self.call(op, args, e.arguments)
 
+    def by_key(self, op: str, args: tuple) -> Typed | None:
+        """Kinds, parts and identity of terms whose datatype varies, read off their keys."""
+        slots = [self.env[a] if isinstance(a, Variable) else None for a in args]
+        if op == "SAMETERM" and all(s is not None or isinstance(a, (IRI, Literal)) for s, a in zip(slots, args, strict=True)):
+            a, b = (key_of(s.kind, s.column) if s is not None else F.lit(key(t)) for s, t in zip(slots, args, strict=True))
+            return "boolean", a == b
+        if len(args) != 1 or slots[0] is None or slots[0].kind != "key":
+            return None
+        k = slots[0].column
+        first = F.substr(k, F.lit(1), F.lit(1))
+        if op in ("ISIRI", "ISBLANK", "ISLITERAL", "ISTRIPLE"):
+            return "boolean", first == {"ISIRI": "I", "ISBLANK": "B", "ISLITERAL": "L", "ISTRIPLE": "T"}[op]
+        # L<datatype>\x01<language>\x01<direction>\x01<lexical form>
+        part = lambda i: F.when(first == "L", F.get(F.split(F.substr(k, F.lit(2)), "\x01", 4), F.lit(i)))
+        if op in ("STR", XSD + "string"):
+            return "string", F.when(first == "I", F.substr(k, F.lit(2))).otherwise(part(3))
+        if op in ("LANG", "LANGDIR"):
+            return "string", part(1 if op == "LANG" else 2)
+        if op in ("HASLANG", "HASLANGDIR"):
+            return "boolean", F.coalesce(part(1 if op == "HASLANG" else 2) != "", F.lit(False))
+        return None
+
     def choice(self, cond: object, yes: object, no: object) -> Typed | None:
         c, a, b = as_ebv(self.native(cond)), self.native(yes), self.native(no)
         if c is None or a is None or b is None or a[0] != b[0]:
@@ -253,7 +279,7 @@ class Compiler:
             if SAFE_REGEX.fullmatch(p) and flags in ("", "i") and p.isascii() and balanced(p):
                 body = re.sub(r"\\.|\.", lambda m: m[0] if m[0] != "." else r"[^\n\r]", p[:-1] if p.endswith("$") and not p.endswith(r"\$") else p)
                 end = r"\z" if p.endswith("$") and not p.endswith(r"\$") else ""
-                return "boolean", F.rlike(c, F.lit(("(?i)" if flags else "") + body + end)) if "|" not in p or not (p.startswith("^") or end) else None
+                return "boolean", F.rlike(c, F.lit(("(?iu)" if flags else "") + body + end)) if "|" not in p or not (p.startswith("^") or end) else None
         return None
 
     # whole expressions

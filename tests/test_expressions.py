@@ -10,7 +10,7 @@ from stratalog.functions.exact import Context, evaluate
 from stratalog.functions.values import ebv
 from stratalog.operators.slots import Slot, key_of
 from stratalog.plans.rules import RuleParser
-from stratalog.terms import Variable, key, nt, term
+from stratalog.terms import IRI, BNode, Literal, TripleTerm, Variable, key, nt, term
 
 X = "PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> PREFIX : <http://x/> "
 
@@ -69,16 +69,21 @@ def test_minting():
 NATIVE = [
     "?i + ?j * 2 - 1", "?i < ?d", "?d / ?e", "?d / ?i", "?i = ?d", "?d != ?e", "?d >= ?e", "-?d", "ABS(?d)", "FLOOR(?d)", "CEIL(?d)", "ROUND(?d)", "ABS(?i)", "STRLEN(?s)", "UCASE(?s)", "SUBSTR(?s, ?i)", "SUBSTR(?s, ?i, ?j)", "CONCAT(?s, ?t)", "CONTAINS(?s, ?t)", "STRBEFORE(?s, ?t)",
     "STRAFTER(?s, ?t)", "STRSTARTS(?s, ?t)", "?s < ?t", "?s = ?t", "?s = ?i", "!?d", "!?s", "?d || ?i", "?s && ?d", "IF(?i > 0, ?s, ?t)", "?i IN (1, 2, ?j)", "?s NOT IN (\"a\", ?t)", "STR(?i)", "ISNUMERIC(?s)", "ISLITERAL(?i)", "xsd:double(?i)", "xsd:boolean(?d)", "xsd:string(?i)", "ENCODE_FOR_URI(?s)", 'REGEX(?s, "^a.b*$")', "?i < ?s", "?b = true", "?b < false", "LANG(?s)", "?i + ?s", "unary", "?r = <urn:r:2>", "?i / ?j", "?i * ?i * ?j", "REPLACE(?s, \"a\", \"bb\")",
+    "STR(?k)", "LANG(?k)", "LANGDIR(?k)", "ISIRI(?k)", "ISBLANK(?k)", "ISLITERAL(?k)", "ISTRIPLE(?k)", "HASLANG(?k)", "SAMETERM(?k, ?i)", "SAMETERM(?k, 1)", "STRLEN(STR(?k))", "xsd:string(?k)", "?k = ?i", "?k < ?d", "?k = <urn:r:2>", "DATATYPE(?k)", "?k + ?i",
 ]
 
 
+INT = "http://www.w3.org/2001/XMLSchema#integer"
+TERMS = [IRI("urn:r:2"), IRI("urn:r:3"), BNode("b"), Literal("x\x01y", "en", "ltr"), Literal("1", datatype=INT), Literal("01", datatype=INT), Literal("z", datatype=INT), Literal("a"), TripleTerm(IRI("a"), IRI("b"), Literal("c"))]
+
+
 def test_native_agrees_with_exact(spark):
     rng = random.Random(9)
     doubles = [0.0, -0.0, 1.5, -2.5, 0.49999999999999994, 1e16, float("nan"), float("inf"), float("-inf"), 3.0, -0.3]
     strings = ["", "a", "ab", "b", "a-b", "aXb", "a\nb", "ñ😀 x", "A b*~"]
-    rows = [(rng.randint(-3, 5) if rng.random() < 0.9 else 2**62, rng.randint(-2, 4), rng.choice(doubles), rng.choice(doubles), rng.choice(strings), rng.choice(strings), rng.random() < 0.5, rng.randint(1, 3)) for _ in range(120)]
-    df = spark.createDataFrame(rows, "i bigint, j bigint, d double, e double, s string, t string, b boolean, r bigint").cache()
-    kinds = dict(i="integer", j="integer", d="double", e="double", s="string", t="string", b="boolean", r="ref:urn:r:")
+    rows = [(rng.randint(-3, 5) if rng.random() < 0.9 else 2**62, rng.randint(-2, 4), rng.choice(doubles), rng.choice(doubles), rng.choice(strings), rng.choice(strings), rng.random() < 0.5, rng.randint(1, 3), key(rng.choice(TERMS))) for _ in range(120)]
+    df = spark.createDataFrame(rows, "i bigint, j bigint, d double, e double, s string, t string, b boolean, r bigint, k string").cache()
+    kinds = dict(i="integer", j="integer", d="double", e="double", s="string", t="string", b="boolean", r="ref:urn:r:", k="key")
     env = {Variable(k): Slot(kind, k) for k, kind in kinds.items()}
     context = Context()
     texts = [t for t in NATIVE if t != "unary"]
