@@ -323,6 +323,23 @@ def test_ngram_join(spark, docs, odd):
     assert ngram_join.link(none_of(docs)).count() == 0
 
 
+def test_ngram_join_in_any_order(spark):
+    """A task may meet the larger ids of a class first."""
+    from stratalog.llm import ngram_join
+
+    rng = random.Random(6)
+    texts = []
+    for k in range(12):
+        base = [f"v{k}x{rng.randrange(300)}" for _ in range(60)]
+        near = [*base[:-1], "other"]
+        texts += [" ".join(base), " ".join(near)] + [" ".join(rng.choice((base, near))) for _ in range(4)]
+    rows = list(enumerate(texts))
+    want = brute_components(rows)
+    for order in (rows[::-1], rng.sample(rows, len(rows)), sorted(rows, key=lambda r: r[0] % 2)):
+        df = spark.createDataFrame(order, "doc_id bigint, text string").coalesce(1)
+        assert {r.id: (r.n, r.component) for r in ngram_join.link(df).collect()} == want
+
+
 def test_components(spark):
     from stratalog.llm.components import connected_components
 
