@@ -14,6 +14,8 @@ empty table gives an empty result; extra columns are kept.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ SEED = "mix-1"
 POWER = 0.5
 #: Counts that the distribution is tabulated to, as mean + 12 roots of it + this.
 SLACK = 30
+#: Rates above this are summed from 12 roots below the mean on: exp(-rate) is no double there.
+LARGE = 700
 
 
 def uniform(*parts: Column) -> Column:
@@ -32,9 +36,18 @@ def uniform(*parts: Column) -> Column:
 
 
 def poisson_count(rate: Column, u: Column) -> Column:
-    """Smallest c with P(X <= c) >= u. Terms follow one another: p(c) = p(c - 1) rate / c."""
-    steps = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + SLACK).cast("int"))
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.when(F.exp(-rate) >= u, 0).otherwise(1).alias("c"))
+    """Smallest c with P(X <= c) >= u. Terms follow one another: p(c) = p(c - 1) rate / c.
+
+    For large rates the first term is the one 12 roots below the mean, in Stirling's form; what lies before it is below 1e-30.
+    """
+    large = rate > LARGE
+    low = F.floor(rate - 12 * F.sqrt(rate) - SLACK).cast("double")
+    # log p(low) = low - rate - low log(low / rate) - log(2 pi low) / 2 - 1 / (12 low) + 1 / (360 low^3) - ...
+    log_p = (low - rate) - low * F.log1p((low - rate) / rate) - F.log(2 * math.pi * low) / 2 - 1 / (12 * low) + 1 / (360 * low * low * low)
+    p0 = F.when(large, F.exp(log_p)).otherwise(F.exp(-rate))
+    first = F.when(large, low.cast("int")).otherwise(0)
+    steps = F.sequence(first + 1, F.ceil(rate + 12 * F.sqrt(rate) + SLACK).cast("int"))
+    start = F.struct(p0.alias("p"), p0.alias("cdf"), F.when(p0 >= u, first).otherwise(first + 1).alias("c"))
     def step(a: Column, i: Column) -> Column:
         p = a["p"] * rate / i
         cdf = a["cdf"] + p

@@ -406,6 +406,34 @@ def test_mixing(spark, docs, odd):
     assert set(shares) <= {"src1", "src2"} and shares["src2"] > 1.5 * shares["src1"]
 
 
+def exact_poisson(rate, u):
+    import decimal
+
+    with decimal.localcontext(prec=60):
+        r = decimal.Decimal(rate)
+        c, p = 0, (-r).exp()
+        cdf = p
+        while cdf < decimal.Decimal(u):
+            c += 1
+            p = p * r / c
+            cdf += p
+        return c
+
+
+def test_mixing_of_large_rates(spark):
+    from stratalog.llm import mixing
+
+    us = [1e-9, 0.001, 0.2, 0.5, 0.77, 0.999, 1 - 1e-9]
+    pairs = [(float(r), u) for r in (3.5, 699.0, 701.0, 746.5, 800.0, 5000.25, 40000.0) for u in us]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(pairs)], "i int, rate double, u double")
+    got = [r.c for r in df.select("i", mixing.poisson_count(F.col("rate"), F.col("u")).alias("c")).orderBy("i").collect()]
+    assert got == [exact_poisson(r, u) for r, u in pairs]
+    rare = frame(spark, ["x"] * 1000).withColumn("source", F.when(F.col("doc_id") > 0, F.lit("big")))
+    weights = spark.createDataFrame([(None, 4.0), ("big", 1.0)], "source string, weight double")
+    u = (int(hashlib.md5(b"mix-1|0").hexdigest()[:13], 16) + 0.5) / 2**52
+    assert mixing.mix(rare, weights=weights).where("source is null").count() == exact_poisson(800.0, u)
+
+
 # 10: quality rules
 
 
