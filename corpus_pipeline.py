@@ -15,7 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents of which no word is left; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, min_words=line_dedup.ALL_WORDS, near_chars=line_dedup.NEAR_CHARS)
     bare = F.col("text").isNull() | (F.size(words(F.col("text"))) > 0) | (F.col("n_exact") + F.col("n_near") == 0)
     cols = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.where(bare).select(*cols)

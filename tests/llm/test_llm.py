@@ -289,6 +289,15 @@ def test_line_dedup(spark, docs, odd):
     assert line_dedup.dedup_lines(none_of(docs)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    from stratalog.llm import line_dedup
+
+    texts = ["Home\nAbout us\nLicensed under version 2 of the Licence\nPage 1\nこれは空白のない一行ですから一語と数えられます", "Home\nabout us\nLicensed under version 3 of the Licence\nPage 2\nこれは空白のない一行ですから一語と数えられまし", "Licensed under version 2 of that License\nPage 1", None, ""]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: texts[0], 1: "about us\nPage 2", 2: texts[2].split("\n")[0], 3: None, 4: ""}
+
+
 # 7: n-gram join
 
 
