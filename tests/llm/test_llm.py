@@ -143,6 +143,16 @@ def test_pii(spark, odd):
     assert pii.replace_pii(none_of(df)).count() == 0
 
 
+def test_pii_national_phones(spark):
+    from stratalog.llm import pii
+
+    df = spark.createDataFrame([(1, "call (212) 555-0123 or 212-555-0123, 212.555.0123; not 2024-01-02 or 1.212.555.0123.4")], "doc_id long, text string")
+    r = pii.replace_pii(df).collect()[0]
+    found = re.findall(r"\(\d{3}\) \d{3}-\d{4}|\d{3}-\d{3}-\d{4}|(?<= )\d{3}\.\d{3}\.\d{4}", r.text)
+    assert r.n_entities == 3 and len(found) == 3 and len({re.sub(r"\D", "", x) for x in found}) == 1
+    assert "555-0123" not in r.text and r.text.endswith("not 2024-01-02 or 1.212.555.0123.4")
+
+
 def test_pii_collisions(spark):
     from stratalog.llm import pii
 
