@@ -80,15 +80,43 @@ class Powers:
         return (run[np.append(at[1:], n)] - run[at]) * self.down[at]
 
 
+def grouped(raw: bytes, at: np.ndarray, end: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Equal pre-tokens: the index of one of each, and for all the place in that list.
+
+    Hashes only propose groups. Sums modulo 2^64 have known collisions, so each member's bytes are held against its first's.
+    """
+    _, first, which = np.unique(powers(raw, at), return_index=True, return_inverse=True)
+    size = end - at
+    alike = size == size[first][which]
+    if alike.all():
+        chars = np.frombuffer(raw, np.uint8)
+        move = np.repeat(at[first][which] - at, size)
+        alike = np.logical_and.reduceat(chars == chars[np.arange(len(chars)) + move], at)
+    if alike.all():
+        return first, which
+    seen: dict[bytes, int] = {}
+    which = np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(at.tolist(), end.tolist(), strict=True)])
+    return np.unique(which, return_index=True)[1], which
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
     Latin-1 texts are split here, many at a time, and the ids of pre-tokens are cached; the vocabulary's
-    ranks encode new ones in one call, a NUL between two. Other texts go whole to the tokenizer.
+    ranks encode new ones in one call, a NUL between two. Other texts go whole to the tokenizer, and
+    those that hold an added token of the vocabulary (<|endoftext|>) to the one of its own file.
     """
 
-    def __init__(self, rank_file: str, pattern: str):
+    def __init__(self, rank_file: str, pattern: str, vocabulary: str):
+        import json
+
         import tiktoken
+        from tokenizers import Tokenizer
+
+        with open(vocabulary, encoding="utf-8") as f:
+            added = [x["content"] for x in json.load(f).get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.own = Tokenizer.from_file(vocabulary) if added else None
 
         with open(rank_file, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -103,6 +131,9 @@ class Encoder:
         out: list = [None] * len(texts)
         easy, raws = [], []
         for i, t in enumerate(texts):
+            if self.added is not None and self.added.search(t):
+                out[i] = np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4")
+                continue
             try:
                 raw = t.encode("latin-1")
             except UnicodeEncodeError:
@@ -118,7 +149,7 @@ class Encoder:
     def _easy(self, raw: bytes) -> list[np.ndarray]:
         at = split(raw)
         end = np.append(at[1:], len(raw))
-        _, first, which = np.unique(self.powers(raw, at), return_index=True, return_inverse=True)
+        first, which = grouped(raw, at, end, self.powers)
         if len(self.cache) > CACHE:
             self.cache = {b"\0": b""}
         cache = self.cache
@@ -161,19 +192,20 @@ def blocks(texts) -> Iterator[list[int]]:
         yield run
 
 
-def tokenize(docs: DataFrame, length: int = LENGTH, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, length: int = LENGTH, rank_file: str | None = None, pattern: str | None = None, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32.
 
-    rank_file: the ranks of the vocabulary of byte_bpe_50k.json (the same ids); pattern: its splitter.
+    vocabulary: the tokenizer's own file; rank_file: the ranks of that vocabulary (the same ids); pattern: its splitter.
     """
     import public_tokenizers
     import pyarrow as pa
 
     rank_file, pattern = rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(rank_file, pattern)
+        encoder = Encoder(rank_file, pattern, vocabulary)
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             ids_of = batch.column("doc_id").to_pylist()
