@@ -3,7 +3,8 @@
 A source's target share of the output divided by its share of the input is the mean repetition rate
 of its documents. Each document's count is the inverse of the Poisson distribution with that mean at
 a uniform number hashed from (seed, doc_id): the smallest c with F(c) >= u. The document is exploded
-by its count, and a sort by the hash of (seed, doc_id, copy) shuffles the result globally.
+by its count, and the hash of (seed, doc_id, copy) shuffles the result globally: it deals the copies to
+partitions and orders each of them. That is one exchange, which needs no sample of the keys beforehand.
 
 Rows of a hot source are counted with partial sums, and only the small table of sources is broadcast
 if the planner finds it small; sizes of sources never decide which task works on a document.
@@ -75,7 +76,7 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", power: flo
     n = poisson_count(F.col("r.rate"), uniform(F.lit(seed), ident))
     copies = with_rate.select("d.*", n.alias("__n")).where("__n > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col("__copy")).cast("binary"))
-    out = copies.orderBy(order, F.col(key))
+    out = copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order", F.col(key))
     return out.select(*docs.columns, *([F.col("__copy").alias("copy")] if keep_copy else []))
 
 
@@ -91,15 +92,15 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), keep_copy=True)
 
 
+#: The distribution from its logarithms, term by term, not by the recurrence above.
 ORACLE = f"""
 WITH s AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {POWER}) AS w FROM documents GROUP BY source),
 t AS (SELECT sum(n) AS all_n, sum(w) AS all_w FROM s),
 r AS (SELECT source, w / all_w * all_n / n AS rate FROM s, t),
-u AS (SELECT d.*, r.rate, (('0x' || substr(md5('{SEED}|' || d.doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-      FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-c AS (SELECT u.*, list_reduce(list_prepend({{'p': exp(-rate), 'cdf': exp(-rate), 'c': CASE WHEN exp(-rate) >= u THEN 0 ELSE 1 END, 'i': 0}},
-        [{{'p': 0.0::DOUBLE, 'cdf': 0.0::DOUBLE, 'c': 0, 'i': i}} FOR i IN range(1, ceil(rate + 12 * sqrt(rate) + {SLACK})::INT + 1)]),
-        lambda a, b: {{'p': a.p * rate / b.i, 'cdf': a.cdf + a.p * rate / b.i,
-                       'c': CASE WHEN a.cdf + a.p * rate / b.i >= u THEN a.c ELSE a.c + 1 END, 'i': b.i}}).c AS n FROM u)
-SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INT AS copy FROM c WHERE n > 0
+k AS (SELECT source, rate, unnest(range(greatest(0, floor(rate - 14 * sqrt(rate) - 40))::BIGINT, ceil(rate + 14 * sqrt(rate) + 40)::BIGINT)) AS c FROM r),
+p AS (SELECT source, c, sum(exp(c * ln(rate) - rate - lgamma(c + 1))) OVER (PARTITION BY source ORDER BY c) AS cdf, min(c) OVER (PARTITION BY source) AS low FROM k),
+u AS (SELECT *, (('0x' || substr(md5('{SEED}|' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+f AS (SELECT source, list(cdf ORDER BY c) AS cdfs, any_value(low) AS low FROM p GROUP BY source),
+n AS (SELECT u.*, f.low + len(list_filter(f.cdfs, lambda x: x < u.u)) AS copies FROM u JOIN f ON u.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::INT AS copy FROM n WHERE copies > 0
 """
