@@ -41,11 +41,15 @@ RUN = re.compile(rf"[A-Za-z0-9+/_=.-]{{{MIN_CORE},}}")
 DIGIT, UNLIKE_WORD = re.compile(r"[0-9]"), re.compile(r"[a-z][A-Z]|[+/_=]")
 #: Runs without a digit count as cores from this length, or from ENTROPY bits a character and MIN_LETTERS.
 LONG, MIN_LETTERS, ENTROPY = 20, 12, 3.0
+#: Generated training texts; texts of the corpus longer than this don't train (their sequences would meet on the driver).
+GENERATED, TRAIN_CHARS = 1500, 20_000
 #: Tokens to either side of a core that stay free.
 REACH = 5
-TRIGGERS = frozenset("password passwd pwd secret token key apikey api_key auth bearer credential access private signature".split())
+TRIGGERS = frozenset("password passwd pwd pass passphrase secret client_secret token key apikey api_key auth authorization bearer basic credential credentials access private signature login dsn".split())
 TRIGGER = re.compile(rf"(?ai)(?<![A-Za-z0-9])(?:{'|'.join(sorted(TRIGGERS))})(?![A-Za-z0-9])")
 O, B, I = 0, 1, 2
+TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")
+TAIL = re.compile(r"[A-Za-z0-9+/_=.-]*")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -86,9 +90,11 @@ def free_stretches(text: str) -> list[list[tuple[int, int]]]:
             zones.append([lo, hi, a, b])
     out = []
     for lo, hi, first, end in zones:
-        while lo > 0 and not text[lo - 1].isspace() and lo > first - 400:
+        # A zone's ends move out to the ends of the tokens that they lie in, however long those are.
+        while lo > 0 and text[lo - 1] in TOKEN_CHARS:
             lo -= 1
-        toks = [m.span() for m in TOKEN.finditer(text, lo, max(hi, end))]
+        hi = TAIL.match(text, max(hi, end)).end()
+        toks = [m.span() for m in TOKEN.finditer(text, lo, hi)]
         i = next((k for k, t in enumerate(toks) if t[1] > first), len(toks))
         j = next((k for k in range(len(toks) - 1, -1, -1) if toks[k][0] < end), -1)
         out.append(toks[max(0, i - REACH) : j + 1 + REACH])
@@ -186,8 +192,8 @@ class Crf:
 
 
 def tagged(text: str, known: tuple[tuple[int, int, int], ...] = ()) -> list[tuple[list[list[str]], list[int]]]:
-    """Training sequences of a text: the exact patterns give the tags, and where they find nothing the known spans."""
-    spans, of_file, out = base_spans(text) or list(known), file_features(text), []
+    """Training sequences of a text: the known spans give the tags, and where none are known the exact patterns."""
+    spans, of_file, out = list(known) or base_spans(text), file_features(text), []
     for toks in free_stretches(text):
         tags = []
         for s, e in toks:
@@ -198,49 +204,71 @@ def tagged(text: str, known: tuple[tuple[int, int, int], ...] = ()) -> list[tupl
 
 
 def generated(n: int, seed: int) -> list[tuple[str, tuple[tuple[int, int, int], ...]]]:
-    """Texts with secrets of common formats, with their spans, and with long tokens that are no secrets."""
+    """Texts with secrets of common formats, with their spans, and with long tokens that are no secrets.
+
+    The exact patterns know assignments to five names, one vendor's keys and hex; these formats are what they miss:
+    other names and separators, prefixed keys, bearer and basic headers, passwords in addresses, web tokens, phrases.
+    """
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alnum = low + up + dig
     word = lambda: pick(low, rng.randint(2, 9))
+    name = lambda: rng.choice(("pwd", "auth", "password", "passphrase", "key", "credential", "secret", "client_secret", "access_token", "private_key", "login", "pass", "db_password", "signing_key"))
+    sep = lambda: rng.choice((": ", " = ", "=", " ", " is ", " := ", " => ", '": "', "='", ' = "'))
+    value = lambda: rng.choice((
+        lambda: pick(alnum, rng.randint(8, 40)), lambda: pick(low + dig, rng.randint(10, 32)), lambda: pick(low + up, rng.randint(10, 24)), lambda: pick(alnum + "+/", rng.randint(20, 60)) + rng.choice(("", "=", "==")),
+        lambda: pick(alnum, rng.randint(6, 8)), lambda: pick(alnum + "_-", rng.randint(16, 40)), lambda: "-".join(word() for _ in range(rng.randint(3, 5))), lambda: "".join(word() for _ in range(rng.randint(3, 4))),
+        lambda: "-".join(pick(low + dig, k) for k in (8, 4, 4, 4, 12)),
+    ))()
+    tag = lambda: pick(low, rng.randint(2, 4)) + rng.choice("_-") + rng.choice(("", pick(low, 4) + "_"))
+    jwt = lambda: ".".join(["eyJ" + pick(alnum, rng.randint(12, 30)), "eyJ" + pick(alnum, rng.randint(20, 60)), pick(alnum + "_-", rng.randint(20, 43))])
     out = []
     for _ in range(n):
-        good = rng.choice([
-            lambda: f"password: {pick(low + up + dig, rng.randint(10, 24))}",
-            lambda: f"api_key='{pick(low + up + dig + '_-', 32)}'",
-            lambda: f"secret = {pick(low + up + dig + '+/', 40)}",
-            lambda: "AKIA" + pick(up + dig, 16),
-            lambda: pick("0123456789abcdef", rng.choice([32, 40, 64])),
-            lambda: f'token = "{pick("0123456789abcdef", 40)}"',
-            lambda: f"{rng.choice(('pwd', 'auth', 'password', 'key', 'credential'))}{rng.choice((': ', ' = ', ' '))}{pick(low + up, rng.randint(10, 24))}",
-            lambda: f"{rng.choice(('Bearer', 'bearer', 'auth'))} {pick(low + up + dig, rng.randint(8, 32))}",
-            lambda: f"{rng.choice(('pwd', 'password', 'secret'))}: {'-'.join(word() for _ in range(4))}",
-            lambda: f"{rng.choice(('pwd', 'auth', 'password'))}: {pick(low + up + dig, rng.randint(6, 8))}",
-            lambda: pick(low + up, rng.randint(16, 40)),
+        # (before the secret, the secret, after it)
+        lead, good, tail = rng.choice([
+            lambda: ("password: ", pick(alnum, rng.randint(10, 24)), ""),
+            lambda: ("", "AKIA" + pick(up + dig, 16), ""),
+            lambda: ("", pick("0123456789abcdef", rng.choice([32, 40, 64])), ""),
+            lambda: (name() + sep(), value(), rng.choice(("", '"', "'", ";"))),
+            lambda: (name() + sep(), value(), ""),
+            lambda: (name().upper() + rng.choice(("=", ": ")), value(), ""),
+            lambda: (name() + sep(), tag() + pick(alnum, rng.randint(12, 40)), ""),
+            lambda: ("", tag() + pick(alnum, rng.randint(20, 40)), ""),
+            lambda: (f"{rng.choice(('Authorization: Bearer', 'Bearer', 'bearer', 'auth', 'Authorization: Basic', 'Basic'))} ", rng.choice((value, jwt))(), ""),
+            lambda: ("", jwt(), ""),
+            lambda: (f"{word()}://{word()}:", pick(alnum, rng.randint(8, 20)), f"@{word()}.{word()}.com/{word()}"),
+            lambda: ("", pick(low + up, rng.randint(18, 40)), ""),
         ])()
         plain = rng.choice([
             lambda: f"{word()}.{rng.randint(1, 99)}@mail{rng.randint(1, 9)}.example.com",
             lambda: f"+1 ({pick(dig, 3)}) 555-{pick(dig, 4)}",
             lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
             lambda: pick(dig, 16),
+            lambda: " ".join(pick(dig, 4) for _ in range(4)),
             lambda: f"https://{word()}.com/{word()}/{rng.randint(1, 9999)}/{word()}-{word()}",
+            lambda: f"https://www.{word()}.org/{word()}_{word()}?{word()}={rng.randint(1, 99)}",
             lambda: f"20{pick(dig, 2)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T10:00:00",
             lambda: f"{word()}-{word()}-{rng.randint(1, 2030)}",
             lambda: f"the {rng.choice(sorted(TRIGGERS))} {word()} {word()}",
+            lambda: f"{rng.choice(sorted(TRIGGERS))} is {word()} {word()}",
+            lambda: f"{rng.choice(sorted(TRIGGERS))}: {word()} {word()}, {word()}",
             lambda: pick(low, rng.randint(10, 16)),
             lambda: f"{rng.choice(('password', 'PASSWD', 'pwd', 'token'))}{rng.choice((': ', ' = ', '='))}{rng.choice(('', chr(39)))}{pick(low, rng.randint(1, 4))}{chr(39)}",
             lambda: f"{word().title()}{word().title()}",
+            lambda: f"{word()}_{word()}({word()}, {word()}_{rng.randint(0, 99)})",
+            lambda: f"{word()}/{word()}/{word()}.{rng.choice(('py', 'java', 'html'))}",
         ])()
         pad = lambda: " ".join(word() for _ in range(rng.randint(3, 8)))
-        before = pad()
-        at = (len(before) + 1, len(before) + 1 + len(good), 3)
-        out.append((f"{before} {good} {pad()} {plain} {pad()}", (at,)) if rng.random() < 0.7 else (f"{before} {plain} {pad()}", ()))
+        before = pad() + " " + lead
+        at = (len(before), len(before) + len(good), 3)
+        out.append((f"{before}{good}{tail} {pad()} {plain} {pad()}", (at,)) if rng.random() < 0.65 else (f"{pad()} {plain} {pad()} {plain}", ()))
     return out
 
 
 def train(texts: list[str], rounds: int = 80, l2: float = 1e-3, seed: int = 7) -> Crf:
     """Maximum conditional likelihood over the texts and the generated ones, in 3-state padded batches."""
-    data = [x for t, known in [*((t, ()) for t in texts), *generated(800, seed)] for x in tagged(t, known)]
+    data = [x for t, known in [*((t, ()) for t in texts), *generated(GENERATED, seed)] for x in tagged(t, known)]
     index: dict[str, int] = {}
     for rows, _ in data:
         for row in rows:
@@ -289,9 +317,9 @@ def train(texts: list[str], rounds: int = 80, l2: float = 1e-3, seed: int = 7) -
     return Crf(names, [[float(x) for x in row] for row in step])
 
 
-def fit(docs: DataFrame, sample_rows: int = 1500) -> Crf:
-    """Train on at most 1.25 * sample_rows texts: most hold a sign of assignment, the others are any rows."""
-    short = docs.where(F.length("text") < 20000)
+def fit(docs: DataFrame, sample_rows: int = 1500, most_chars: int = TRAIN_CHARS) -> Crf:
+    """Train on at most 1.25 * sample_rows texts of under most_chars: most hold a sign of assignment, the others are any rows."""
+    short = docs.where(F.length("text") < most_chars)
     # Ids are chosen first, so that no texts meet in one task; there are 1.25 * sample_rows at most.
     signs = hash_sample(short.where(F.contains("text", F.lit("="))).select("doc_id"), "doc_id", sample_rows)
     rest = hash_sample(short.select("doc_id"), "doc_id", sample_rows // 4, 18)
