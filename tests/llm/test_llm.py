@@ -22,7 +22,8 @@ def frame(spark, texts, schema=SCHEMA):
 def odd(spark):
     """Null, empty, blank and repeated texts, a clashing extra column."""
     base = frame(spark, [None, "", " \n\t ", "one", "a b c d e", "a b c d e", "x " * 3000, "Ünïcode ½ текст 日本 it's ok"])
-    return base.unionByName(base.where("doc_id = 4")).withColumn("id", F.lit("clash")).withColumn("n", F.lit(1)).withColumn("tok", F.lit(2))
+    clash = ("id", "n", "tok", "h", "q", "kept", "quality", "p_doc", "host_mean", "path_mean", "n_entities", "n_lines", "n_exact", "n_near", "mention", "kind", "copy", "length", "pos", "line", "component", "rate", "source_key", "w", "first", "score", "n_words")
+    return base.unionByName(base.where("doc_id = 4")).select("*", *[F.lit(f"clash {c}").alias(c) for c in clash])
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +40,27 @@ def none_of(df):
     return df.limit(0)
 
 
+def test_hash_sample(spark):
+    from stratalog.llm.common import hash_sample
+
+    df = spark.range(20000).withColumnRenamed("id", "doc_id")
+    want = [r.doc_id for r in df.orderBy(F.xxhash64(F.lit(17), F.col("doc_id")), "doc_id").limit(300).collect()]
+    assert [r.doc_id for r in hash_sample(df, "doc_id", 300).collect()] == want
+    assert hash_sample(df.limit(0), "doc_id", 5).count() == 0 and hash_sample(df, "doc_id", 10**6).count() == 20000
+
+
+def test_byte_slices():
+    import pyarrow as pa
+
+    from stratalog.llm.common import byte_slices
+
+    texts = ["a" * 10, None, "", "b" * 5000, "c", "d" * 90]
+    b = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    parts = [p.column("text").to_pylist() for p in byte_slices(b, size=100)]
+    assert sum(parts, []) == texts and ["b" * 5000] in parts and max(map(len, parts)) > 1
+    assert list(byte_slices(b.slice(0, 0))) == []
+
+
 # 1: secrets
 
 
@@ -84,6 +106,45 @@ def test_secrets_without_digits():
     assert model.spans("the key point is a token of thanks in private, as the international commission has it") == []
 
 
+def planted(rng):
+    """Secrets in formats that the training doesn't generate, and plain text beside them."""
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda k, chars=alnum: "".join(rng.choice(chars) for _ in range(k))
+    words = ["the", "build", "failed", "again", "after", "we", "moved", "to", "another", "region", "please", "check", "it", "and", "report", "back"]
+    say = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(4, 9)))
+    return [(f"{say()} {a}", v, f"{b} {say()}") for a, v, b in (
+        ("client_secret is ", "xoxb-" + pick(11, "0123456789") + "-" + pick(24), ""),
+        ("passphrase = ", "correcthorsebattery" + pick(6, "aeioulmnrst"), ","),
+        ("X-Auth: ", pick(40), ""),
+        ("with credential <", pick(22), ">"),
+        ("key -> ", "glpat-" + pick(20), "."),
+        ("signature ", pick(43) + "=", ""),
+        ("DB_PASS=", pick(14), ""),
+        ("login admin / ", pick(16), ""),
+    )]
+
+
+def test_secrets_of_unseen_formats(spark):
+    """The method finds what the exact patterns miss, in formats it never saw; whole values, and prose left alone."""
+    from stratalog.llm import secrets
+
+    rng = random.Random(21)
+    model = secrets.train([])
+    cases = [c for _ in range(25) for c in planted(rng)]
+    found = 0
+    for a, v, b in cases:
+        base, spans = secrets.scan(a + v + b, model)
+        assert not base
+        found += any(s <= len(a) and len(a) + len(v) <= e for s, e, k in spans if k == 3)
+    assert found >= 0.8 * len(cases)
+    plain = [a.rsplit(" ", 2)[0] + b for a, _, b in cases]
+    assert sum(bool(model.spans(t)) for t in plain) <= 0.02 * len(plain)
+    # A token is never cut, however long, and blanks aren't needed.
+    whole = "x" * 50 + "," + "Zk39" * 700 + "," + "y" * 30
+    toks = [x for part in secrets.free_stretches(whole) for x in part]
+    assert (51, 51 + 2800) in toks
+
+
 def test_viterbi_is_exact():
     from stratalog.llm.secrets import Crf
 
@@ -139,7 +200,9 @@ def test_pii(spark, odd):
     assert mail.upper() in out[2] and " 10." in out[2] and re.search(r"Госпожа \p{Lu}\w+".replace(r"\p{Lu}", "[А-Я]"), out[2])
     assert out[3] is None and out[4] == ""
     same = pii.replace_pii(odd)
-    assert sorted(map(str, same.select(*odd.columns).collect())) == sorted(map(str, odd.collect()))
+    others = [c for c in odd.columns if c != "n_entities"]
+    assert sorted(map(str, same.select(*others).collect())) == sorted(map(str, odd.select(*others).collect()))
+    assert {r.n_entities for r in same.select("n_entities").collect()} == {0}
     assert pii.replace_pii(none_of(df)).count() == 0
 
 
@@ -153,6 +216,38 @@ def test_pii_national_phones(spark):
     assert "555-0123" not in r.text and r.text.endswith("not 2024-01-02 or 1.212.555.0123.4")
 
 
+def test_pii_coreference_and_networks(spark):
+    from stratalog.llm import pii
+
+    texts = [
+        "Dr. Anna Schmidt met Frau Anna Schmidt. Anna Schmidt and SCHMIDT left; Schmidt's Annaberg stays.",
+        "Schmidt without a title here, and Anna too.",
+        "from 172.16.3.4, 172.31.9.9, 127.0.0.1, 169.254.7.7, 192.168.0.1, 8.8.8.8 but not 999.1.1.1 or 1.2.3.4.5",
+    ]
+    out = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) met Frau (\w+) (\w+)\. (\w+) (\w+) and SCHMIDT left; (\w+)'s Annaberg stays\.", out[0])
+    assert m and m[1] == m[3] == m[5] != "Anna" and m[2] == m[4] == m[6] == m[7] != "Schmidt" and m[1].endswith("na")
+    assert out[1] == texts[1]
+    ips = re.findall(r"\d+\.\d+\.\d+\.\d+", out[2])
+    classes = [r"172\.(1[6-9]|2\d|3[01])\.", r"172\.(1[6-9]|2\d|3[01])\.", r"127\.", r"169\.254\.", r"192\.168\.", r"\d+\."]
+    assert all(re.match(c, i) for c, i in zip(classes, ips)) and not set(ips[:6]) & set(re.findall(r"\d+\.\d+\.\d+\.\d+", texts[2])[:6])
+    assert out[2].endswith("but not 999.1.1.1 or 1.2.3.4.5")
+
+
+def test_pii_crowded_forms(spark):
+    """More values than a form has surrogates: what is drawn grows."""
+    from stratalog.llm import pii
+
+    letters = "abcdefghijklmnopqrst"
+    mails = [("email", f"{a}@{b}.com") for a in letters for b in letters]
+    local = [("ip", f"192.168.{i}.{j}") for i in range(256) for j in range(0, 256, 2)]
+    ents = spark.createDataFrame(mails + local, "kind string, canon string")
+    got = pii.surrogates(ents).collect()
+    assert len(got) == len(mails) + len(local) == len({(r.kind, r.surrogate) for r in got})
+    assert all(re.match(r"(192\.168|10)\.", r.surrogate) for r in got if r.kind == "ip")
+    assert not {(r.kind, r.surrogate) for r in got} & {(r.kind, r.canon) for r in got}
+
+
 def test_pii_collisions(spark):
     from stratalog.llm import pii
 
@@ -175,8 +270,10 @@ def test_packing(spark, docs, odd):
     from stratalog.llm import packing
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    more = frame(spark, ["it's a  test\n\n x", "\x1c a\x85b ²x 3½", " \n\t lead", "trail  \n", "a\x00b", "'s 'll don't", "\xa0\xa0x", "don'", "<|endoftext|> x"])
+    morse = [0]
+    for _ in range(11):
+        morse += [1 - x for x in morse]
+    more = frame(spark, ["it's a  test\n\n x", "\x1c a\x85b ²x 3½", " \n\t lead", "trail  \n", "a\x00b", "'s 'll don't", "\xa0\xa0x", "don'", "<|endoftext|> x", "a <|endoftext|><|endoftext|>\n", "".join("ab"[x] for x in morse), "".join("ba"[x] for x in morse), "".join("ab"[x] for x in morse) + " " + "".join("ba"[x] for x in morse)])
     for df in (docs.select("doc_id", "text"), odd.dropDuplicates(["doc_id"]), more):
         rows = packing.pack_documents(df).collect()
         by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
@@ -406,9 +503,26 @@ def test_quality_classifier(spark, docs, labels, odd):
     assert len(got) == odd.count() and all(0 <= r.quality <= 1 for r in got)
     assert all(r.kept for r in qc.judged(odd, none_of(labels)).collect())
     assert qc.judged(none_of(docs), labels).count() == 0
+    # Labels that it wasn't fitted on.
+    docs_, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    aside = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    unseen = qc.judged(docs_.select("doc_id", "text", "source", "lang"), lab.where(~aside)).join(lab.where(aside), "doc_id").select("kept", lab.quality).collect()
+    assert len(unseen) > 500 and np.mean([r.kept == bool(r.quality) for r in unseen]) > 0.97
+    # Host and path of real pages.
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), "url")
+    got = qc.judged(pages, labels, *qc.site_columns(F.col("url"))).collect()
+    assert len(got) == pages.count()
+    host, path = qc.site_columns(F.col("u"))
+    urls = ["https://u:p@Ex.org:80/a/b?c", "http://x.y", "nothing", None, "http://h/A#z"]
+    assert [tuple(r) for r in spark.createDataFrame([(u,) for u in urls], "u string").select(host, path).collect()] == [("ex.org", "/a"), ("x.y", ""), (None, None), (None, None), ("h", "/A")]
     # Sparse sites fall back on their host, sparse hosts on the whole.
     rows = [("a", "x", 0.9)] * 200 + [("a", "y", 0.1)] + [("b", "z", 0.1)] * 200 + [("c", "w", 0.0)]
     post = {(r["__host"], r["__path"]): r for r in qc.posteriors(spark.createDataFrame(rows, "__host string, __path string, __p double")).collect()}
+    # The prior of paths is fitted: where paths of a host differ by much, a path's own documents count sooner.
+    apart = [("a", f"p{i}", 0.05 if i % 2 else 0.95) for i in range(20) for _ in range(50)] + [("a", "new", 0.05)] * 2
+    alike = [("a", f"p{i}", 0.5 + 0.01 * (i % 2)) for i in range(20) for _ in range(50)] + [("a", "new", 0.05)] * 2
+    of_new = [next(r.path_mean for r in qc.posteriors(spark.createDataFrame(rows_, "__host string, __path string, __p double")).collect() if r["__path"] == "new") for rows_ in (apart, alike)]
+    assert of_new[0] < 0.3 < 0.48 < of_new[1]
     assert post["a", "y"].path_mean > 0.8 and 0.1 < post["c", "w"].host_mean < 0.5 and post["b", "z"].path_mean < 0.15
 
 
@@ -457,7 +571,7 @@ def test_mixing_of_large_rates(spark):
     from stratalog.llm import mixing
 
     us = [1e-9, 0.001, 0.2, 0.5, 0.77, 0.999, 1 - 1e-9]
-    pairs = [(float(r), u) for r in (3.5, 699.0, 701.0, 746.5, 800.0, 5000.25, 40000.0) for u in us]
+    pairs = [(float(r), u) for r in (3.5, 699.0, 701.0, 746.5, 800.0, 5000.25, 40000.0) for u in us] + [(2e6, 0.3), (2e6, 0.999)]
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(pairs)], "i int, rate double, u double")
     got = [r.c for r in df.select("i", mixing.poisson_count(F.col("rate"), F.col("u")).alias("c")).orderBy("i").collect()]
     assert got == [exact_poisson(r, u) for r, u in pairs]
@@ -490,6 +604,21 @@ def test_quality_rules(spark, docs, labels, odd):
     rules = qr.learn_list(x, bad)
     hit = np.any([qr.covers(r, x) for r in rules], axis=0)
     assert (hit == bad).mean() > 0.95 and hit[~bad].mean() < 0.03
+    # The conditional expression judges as the list does.
+    counts = np.column_stack([rng.integers(0, 60, 200) for _ in range(8)])
+    names = ["n_words", "n_symbols", "n_upper", "n_marks", "n_dup_lines", "n_lines", "n_repeat_words", "word_chars"]
+    stat = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(counts)], "i int, " + ", ".join(f"{c} long" for c in names))
+    ratios = np.array([r[1:] for r in stat.select("i", *[qr.ratio(k).alias(k) for k in qr.NAMES]).orderBy("i").collect()])
+    learned = qr.learn_list(ratios, (ratios[:, 1] > 0.6) | (ratios[:, 6] < 0.4))
+    assert learned
+    got = [r.ok for r in stat.select("i", qr.verdict(learned).alias("ok")).orderBy("i").collect()]
+    assert got == (~np.any([qr.covers(r, ratios) for r in learned], axis=0)).tolist()
+    # Labels that it didn't learn from.
+    sf = "/root/testdata/sf0.1"
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    aside = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    unseen = qr.judge(d, qr.learn(d, lab.where(~aside))).join(lab.where(aside), "doc_id").collect()
+    assert np.mean([r.kept for r in unseen if r.quality == 0]) < 0.05 and np.mean([r.kept for r in unseen if r.quality == 1 and not r.base_failed]) > 0.98
     assert qr.learn(docs, none_of(labels)) == [] and qr.judge(none_of(docs), []).count() == 0
 
 
