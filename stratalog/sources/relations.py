@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.operators.slots import key_of
+from stratalog.operators.slots import double_text, key_of, typed_prefix
 from stratalog.terms import IRI, Triple, key
 
 KEYS = "s string, p string, o string"
@@ -26,6 +26,10 @@ class Relation:
     rows: DataFrame | None = None
     subject: Column | None = None
     object: Column | None = None
+    #: Whether no two rows of the table have one subject.
+    unique: bool = True
+    #: Whether the frame is a written table; others are computed whenever they are read.
+    stored: bool = False
 
     @property
     def df(self) -> DataFrame:
@@ -33,6 +37,8 @@ class Relation:
         if self.frame is None:
             rows = self.rows.where(self.subject.isNotNull() & self.object.isNotNull())
             self.frame = rows.select(self.subject.alias("s"), self.object.alias("o"))
+            if not self.unique:
+                self.frame = self.frame.distinct()
         return self.frame
 
     def keyed(self) -> DataFrame:
@@ -44,19 +50,42 @@ def kind_of(t: T.DataType) -> str | None:
         return "integer"
     if isinstance(t, T.DoubleType):
         return "double"
-    if isinstance(t, T.StringType):
+    if isinstance(t, (T.StringType, T.CharType, T.VarcharType)):
         return "string"
     if isinstance(t, T.BooleanType):
         return "boolean"
     return "dateTime" if isinstance(t, T.TimestampNTZType) else None
 
 
+def native_or_key(t: T.DataType, c: Column) -> tuple[str, Column] | None:
+    """The slot kind and value of a mapped column: native where slots have such a kind, else by key; None for nested types."""
+    kind = kind_of(t)
+    if kind is not None:
+        return kind, c.cast("bigint") if kind == "integer" else c
+    if isinstance(t, T.FloatType):
+        name, text = "float", double_text(c.cast("double"))
+    elif isinstance(t, T.DecimalType):
+        name, text = "decimal", c.cast("string")
+    elif isinstance(t, T.DateType):
+        name, text = "date", c.cast("string")
+    elif isinstance(t, T.TimestampType):
+        seconds = (F.unix_micros(c).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+        utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+        name, text = "dateTime", F.concat(F.regexp_replace(utc.cast("string"), " ", "T"), F.lit("Z"))
+    elif isinstance(t, T.BinaryType):
+        name, text = "base64Binary", F.base64(c)
+    else:
+        return None
+    return "key", F.concat(F.lit(typed_prefix(name)), text)
+
+
 @dataclass
 class Mapping:
     """A table as triples: subject <subject_prefix><key>, one predicate <column_prefix><column> for each column.
 
     links: column -> subject prefix of the table it refers to; they give predicates <link_prefix><column>.
-    The key must be unique; a key of several columns or none is hashed from the row by the caller.
+    The key is unique, or else unique is False and equal rows count once: triples are a set. A key of several columns or
+    none is hashed from the row by the caller. Columns of nested types have no terms and are named in leave_out.
     """
 
     name: str
@@ -66,6 +95,8 @@ class Mapping:
     subject_prefix: str = ""
     column_prefix: str = "urn:c:"
     link_prefix: str = "urn:fk:"
+    unique: bool = True
+    leave_out: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
         self.subject_prefix = self.subject_prefix or f"urn:t:{self.name}:"
@@ -85,11 +116,16 @@ class Source:
         ref = "ref:" + m.subject_prefix
         subject = F.col(f"`{m.key}`")
         for f in m.df.schema.fields:
+            if f.name in m.leave_out:
+                continue
             c = F.col(f"`{f.name}`")
-            for prefix, kind in ((m.column_prefix, kind_of(f.dataType)), (m.link_prefix, "ref:" + m.links[f.name] if f.name in m.links else None)):
-                if kind is not None:
-                    value = c.cast("bigint") if kind == "integer" else c
-                    self.by_predicate.setdefault(prefix + f.name, []).append(Relation(None, ref, kind, m.name, m.df, subject, value))
+            mapped = native_or_key(f.dataType, c)
+            if mapped is None:
+                raise ValueError(f"column {f.name} of table {m.name} is of type {f.dataType.simpleString()}, which has no terms; name it in leave_out")
+            put = lambda predicate, kind, value: self.by_predicate.setdefault(predicate, []).append(Relation(None, ref, kind, m.name, m.df, subject, value, m.unique))
+            put(m.column_prefix + f.name, *mapped)
+            if f.name in m.links:
+                put(m.link_prefix + f.name, "ref:" + m.links[f.name], c.cast("bigint") if mapped[0] == "integer" else c)
 
     def add_triples(self, triples: Iterable[Triple]) -> None:
         self.local += triples
