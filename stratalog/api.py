@@ -104,7 +104,7 @@ def text(kind: str, c):
 
 
 def _context(registry: FunctionRegistry | None) -> Context:
-    return Context(functions=dict(registry.functions) if registry else {})
+    return Context(functions=dict(registry.functions), columns=dict(registry.columns)) if registry else Context()
 
 
 def infer_frame(rule_set: Rules, data: Data = None, *, rule_base_iri: str | None = None, data_format: str = "turtle", data_base_iri: str | None = None, include_base: bool = False, function_registry: FunctionRegistry | None = None, import_resolver: ImportResolver | None = None, spark: SparkSession | None = None, max_rounds: int = 1000) -> DataFrame:
@@ -128,7 +128,8 @@ def query(rule_set: Rules, data: Data, goal: str | tuple, *, rule_base_iri: str
     prepared = prepare_rules(rule_set, rule_base_iri, import_resolver)
     body, goal_base = parse_goal(goal, goal_base_iri) if isinstance(goal, str) else (tuple(goal), goal_base_iri)
     known = analysis.validate_body(body)
-    run = Evaluator(spark, prepared, base, _context(function_registry), max_rounds, analysis.relevant(prepared, body))
+    used = analysis.relevant(prepared, body)
+    run = Evaluator(spark, prepared, base, _context(function_registry), max_rounds, used, analysis.kept_ends(prepared, body, used))
     run.run()
     sols = run.goal(body, goal_base)
     return QueryResult(sorted((v for v in known if not v.value.startswith("@")), key=lambda v: v.value), sols)

@@ -1,7 +1,8 @@
 """Expressions as Spark columns over typed slots. NULL stands for an expression error.
 
-Three-valued logic then is the rule language's own. What has no exact native form here is left to the
-exact evaluator, in Arrow batches over the keys of the variables it reads.
+Three-valued logic then is the rule language's own. Terms whose datatype varies stay keys, which mixed.py compares and
+takes apart in columns. What has no exact native form (arithmetic over such terms, division of integers, some casts,
+unusual regular expressions) is left to the exact evaluator, in Arrow batches over the keys of the variables it reads.
 """
 from __future__ import annotations
 
@@ -13,11 +14,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stratalog.errors import ExpressionError
-from stratalog.functions import exact
-from stratalog.functions.values import ebv, short
-from stratalog.operators.slots import Slot, key_of, timestamp
+from stratalog.functions import exact, mixed
+from stratalog.functions.values import DATETIME, FLOAT, ebv, float_text, short
+from stratalog.operators.slots import Slot, key_of, timestamp, typed_prefix
 from stratalog.plans.model import Expression, expression_variables
-from stratalog.terms import XSD, IRI, Literal, TripleTerm, Variable, key, term
+from stratalog.sources.iri import ABSOLUTE, BAD
+from stratalog.terms import DIR_LANG_STRING, LANG_STRING, STRING, XSD, IRI, BNode, Literal, TripleTerm, Variable, key, term, variables
 
 Typed = tuple[str, Column]
 Env = Mapping[Variable, Slot]
@@ -31,6 +33,14 @@ def null(kind: str) -> Column:
 
 
 def constant(t) -> Typed | None:
+    """A ground term: native where its datatype has a slot kind and its lexical form is the canonical one, else its key."""
+    x = native_constant(t)
+    if x is None and (isinstance(t, (IRI, BNode, Literal)) or (isinstance(t, TripleTerm) and not variables(t))):
+        return "key", F.lit(key(t))
+    return x
+
+
+def native_constant(t) -> Typed | None:
     if isinstance(t, Literal) and t.lang is None:
         name = short(t.datatype)
         try:
@@ -38,7 +48,7 @@ def constant(t) -> Typed | None:
                 return "string", F.lit(t.value)
             if name == "integer" and len(t.value) < 30 and str(int(t.value)) == t.value:
                 return "integer", F.lit(int(t.value)).cast("decimal(38,0)") if abs(int(t.value)) >= 2**63 else F.lit(int(t.value)).cast("bigint")
-            if name == "double" and re.fullmatch(r"[+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?", t.value):
+            if name == "double" and FLOAT.fullmatch(t.value) and "N" not in t.value:
                 return "double", F.lit(float(t.value))
             if name == "boolean" and t.value in ("true", "false"):
                 return "boolean", F.lit(t.value == "true")
@@ -61,22 +71,35 @@ def as_ebv(x: Typed | None) -> Column | None:
         return (c != 0) & ~F.isnan(c)
     if kind == "string":
         return F.length(c) > 0
-    return F.lit(None).cast("boolean") if kind.startswith("ref:") or kind == "dateTime" else None
+    return mixed.ebv(c) if kind == "key" else F.lit(None).cast("boolean")
 
 
 def whole(c: Column) -> Column:
     return c.cast("decimal(38,0)")
 
 
+def java_regex(p: str, flags: str) -> str | None:
+    """The pattern for Java where it means the same there; flags: none or i."""
+    if flags not in ("", "i") or not (p.isascii() and SAFE_REGEX.fullmatch(p) and balanced(p)):
+        return None
+    ends = p.endswith("$") and not p.endswith(r"\$")
+    if "|" in p and (p.startswith("^") or ends):
+        return None
+    body = re.sub(r"\\.|\[[^\]]*\]|\.", lambda m: r"[^\n\r]" if m[0] == "." else m[0], p[:-1] if ends else p)
+    return ("(?iu)" if flags else "") + body + (r"\z" if ends else "")
+
+
 class Compiler:
     def __init__(self, env: Env, context: exact.Context):
         self.env, self.context = env, context
+        #: Whether a column of this compiler calls Python.
+        self.python = False
 
     def native(self, e: object) -> Typed | None:
         """(kind, column), or None where only the exact evaluator will do."""
         if isinstance(e, Variable):
             s = self.env[e]
-            return None if s.kind == "key" else (s.kind, s.column)
+            return s.kind, s.column
         if not isinstance(e, Expression):
             return constant(e)
         op = e.operator
@@ -103,47 +126,183 @@ class Compiler:
         if op in ("=", "!="):
             c = self.equal(*e.arguments)
             return None if c is None else ("boolean", c if op == "=" else ~c)
+        if op in self.context.columns:
+            args = [self.native(a) for a in e.arguments]
+            return None if any(a is None for a in args) else self.context.columns[op](*args)
         if op in self.context.functions:
             return None
-        if (x := self.by_key(op, e.arguments)) is not None:
-            return x
-        if op == "SAMETERM":
-            return None
         args = [self.native(a) for a in e.arguments]
         if any(a is None for a in args):
             return None
+        if op == "SAMETERM":
+            return "boolean", self.lexical_key(e.arguments[0], args[0]) == self.lexical_key(e.arguments[1], args[1])
+        keyed = any(k == "key" for k, _ in args)
         if op in ("<", ">", "<=", ">="):
-            return self.order(op, *args)
+            return ("boolean", mixed.order(*args, swap=op[0] == ">", strict=len(op) == 1)) if keyed else self.order(op, *args)
         if op in ("+", "-", "*", "/"):
-            return self.arithmetic(op, *args) if "double" in (args[0][0], args[1][0]) or self.digits(e) <= 38 else None
-        return self.call(op, args, e.arguments)
-
-    def by_key(self, op: str, args: tuple) -> Typed | None:
-        """Kinds, parts and identity of terms whose datatype varies, read off their keys."""
-        slots = [self.env[a] if isinstance(a, Variable) else None for a in args]
-        if op == "SAMETERM" and all(s is not None or isinstance(a, (IRI, Literal)) for s, a in zip(slots, args, strict=True)):
-            a, b = (key_of(s.kind, s.column) if s is not None else F.lit(key(t)) for s, t in zip(slots, args, strict=True))
-            return "boolean", a == b
-        if len(args) != 1 or slots[0] is None or slots[0].kind != "key":
+            return self.arithmetic(op, *args) if not keyed and ("double" in (args[0][0], args[1][0]) or self.digits(e) <= 38) else None
+        found = self.of_terms(op, args, e.arguments)
+        return found if found is not None or keyed else self.call(op, args, e.arguments)
+
+    @staticmethod
+    def lexical_key(source: object, x: Typed) -> Column:
+        """The key of an argument; a constant keeps the lexical form it was written in."""
+        return F.lit(key(source)) if isinstance(source, (IRI, BNode, Literal)) else key_of(*x)
+
+    def of_terms(self, op: str, args: list[Typed], source: tuple) -> Typed | None:
+        """Functions that take terms of any kind, or whose result's datatype varies."""
+        if not args:
+            return None
+        x = args[0]
+        kind, c = x
+        keyed = kind == "key"
+        if keyed and op in ("ISIRI", "ISBLANK", "ISLITERAL", "ISTRIPLE"):
+            return "boolean", mixed.first(c) == {"ISIRI": "I", "ISBLANK": "B", "ISLITERAL": "L", "ISTRIPLE": "T"}[op]
+        if keyed and op == "ISNUMERIC":
+            return "boolean", F.when(c.isNotNull(), mixed.number(x).isNotNull())
+        if keyed and op in ("STR", STRING):
+            return "string", F.when(mixed.first(c) == "I", F.substr(c, F.lit(2))).otherwise(mixed.lexical(c))
+        if keyed and op in ("LANG", "LANGDIR", "HASLANG", "HASLANGDIR"):
+            part = F.get(F.split(mixed.tags(c), "\x01"), F.lit(2 if op.endswith("DIR") else 1))
+            literal = mixed.first(c) == "L"
+            return ("boolean", F.when(c.isNotNull(), literal & (part != ""))) if op.startswith("HAS") else ("string", F.when(literal, part))
+        if op == "DATATYPE":
+            return "key", mixed.datatype_iri(x)
+        if op in ("SUBJECT", "PREDICATE", "OBJECT"):
+            parts = mixed.unpacked(c) if keyed else [F.lit(None).cast("string")] * 3
+            return "key", parts[("SUBJECT", "PREDICATE", "OBJECT").index(op)]
+        if op == "TRIPLE":
+            s, p, o = (key_of(*a) for a in args)
+            return "key", F.when(mixed.first(s).isin("I", "B") & (mixed.first(p) == "I"), mixed.packed(s, p, o))
+        if op == "IRI" and not self.context.base:
+            text = mixed.plain(x)
+            made = F.when(text.rlike("^" + ABSOLUTE.pattern) & ~text.rlike(r"[\x00-\x20<>\"{}|^`\\]"), F.concat(F.lit("I"), text))
+            return "key", F.when(mixed.first(c) == "I", c).otherwise(made) if keyed else key_of(kind, c) if kind.startswith("ref:") else made
+        if op == "LANGMATCHES":
+            tag, wanted = (F.lower(mixed.plain(a)) for a in args)
+            return "boolean", F.when(wanted == "*", F.length(tag) > 0).otherwise((tag == wanted) | F.startswith(tag, F.concat(wanted, F.lit("-"))))
+        if op == "STRDT" and isinstance(source[1], IRI):
+            if source[1].value in (LANG_STRING, DIR_LANG_STRING):
+                return "key", null("string")
+            return ("string", mixed.plain(x)) if source[1].value == STRING else ("key", F.concat(F.lit(f"L{source[1].value}\x01\x01\x01"), mixed.plain(x)))
+        if op in ("STRLANG", "STRLANGDIR"):
+            tag = F.lower(F.nullif(mixed.plain(args[1]), F.lit("")))
+            direction = F.lit("")
+            if op == "STRLANGDIR":
+                direction = mixed.plain(args[2])
+                direction = F.when(direction.isin("ltr", "rtl"), direction)
+            return "key", F.concat(F.lit("L\x01"), tag, F.lit("\x01"), direction, F.lit("\x01"), mixed.plain(x))
+        if op == "SECONDS" and kind == "dateTime":
+            text = c.cast("string")
+            return "key", F.concat(F.lit(typed_prefix("decimal")), F.second(c).cast("string"), F.regexp_extract(text, r"\.[0-9]+", 0))
+        if keyed and op in ("YEAR", "MONTH", "DAY", "HOURS", "MINUTES"):
+            return "integer", mixed.date_part(c, op)
+        if keyed and op in ("TZ", "TIMEZONE"):
+            text = mixed.trimmed(c)
+            z = mixed.group(text, DATETIME, 9)
+            valid = (mixed.datatype(c) == "dateTime") & mixed.date_time(text).isNotNull()
+            n = mixed.zone(z)
+            if op == "TZ":
+                return "string", F.when(valid, F.when((n == 0) & (z != ""), "Z").otherwise(z))
+            span = F.concat(F.lit(typed_prefix("dayTimeDuration")), F.when(n < 0, "-").otherwise(""), F.lit("PT"), F.floor(F.abs(n) / 60).cast("string"), F.lit("H"), (F.abs(n) % 60).cast("string"), F.lit("M"))
+            return "key", F.when(valid & (z != ""), span)
+        return self.of_strings(op, args, source) or self.cast(short(op), x) if len(args) == 1 else self.of_strings(op, args, source)
+
+    def of_strings(self, op: str, args: list[Typed], source: tuple) -> Typed | None:
+        """String functions where an argument may have a language."""
+        if op == "REPLACE":
+            return self.replaced(args, source)
+        if all(k != "key" for k, _ in args):
+            return None
+        x = args[0]
+        text = mixed.text_of(x)
+        if op == "STRLEN":
+            return "integer", F.length(text).cast("bigint")
+        if op in ("UCASE", "LCASE"):
+            return mixed.like(x, (F.upper if op == "UCASE" else F.lower)(text))
+        if op == "ENCODE_FOR_URI":
+            return self.call(op, [("string", text)], source)
+        if op == "CONCAT":
+            return mixed.joined(args)
+        if op == "SUBSTR" and all(k == "integer" for k, _ in args[1:]):
+            return mixed.like(x, self.call(op, [("string", text), *args[1:]], source)[1])
+        if op == "REGEX":
+            return self.call(op, [("string", text), *args[1:]], source) if all(k == "string" for k, _ in args[1:]) else None
+        if op in ("CONTAINS", "STRSTARTS", "STRENDS", "STRBEFORE", "STRAFTER"):
+            y = args[1]
+            if x[0] not in ("string", "key") or y[0] not in ("string", "key"):
+                return "boolean", null("boolean")
+            pair = [("string", text), ("string", mixed.text_of(y))]
+            fits = mixed.compatible(x, y)
+            kind, c = self.call(op, pair, source)
+            if op in ("STRBEFORE", "STRAFTER"):
+                whole = F.when(F.position(pair[1][1], text) > 0, key_of(*mixed.like(x, c))).otherwise(key_of("string", c))
+                return "key", F.when(fits, whole)
+            return kind, F.when(fits, c)
+        return None
+
+    def replaced(self, args: list[Typed], source: tuple) -> Typed | None:
+        """REPLACE with a constant pattern and replacement that mean the same in Java."""
+        if not all(isinstance(a, Literal) and a.lang is None and a.datatype is None for a in source[1:]):
+            return None
+        pattern = java_regex(source[1].value, source[3].value if len(source) > 3 else "")
+        if pattern is None or re.search(source[1].value.removesuffix("$"), ""):
             return None
-        k = slots[0].column
-        first = F.substr(k, F.lit(1), F.lit(1))
-        if op in ("ISIRI", "ISBLANK", "ISLITERAL", "ISTRIPLE"):
-            return "boolean", first == {"ISIRI": "I", "ISBLANK": "B", "ISLITERAL": "L", "ISTRIPLE": "T"}[op]
-        # L<datatype>\x01<language>\x01<direction>\x01<lexical form>
-        part = lambda i: F.when(first == "L", F.get(F.split(F.substr(k, F.lit(2)), "\x01", 4), F.lit(i)))
-        if op in ("STR", XSD + "string"):
-            return "string", F.when(first == "I", F.substr(k, F.lit(2))).otherwise(part(3))
-        if op in ("LANG", "LANGDIR"):
-            return "string", part(1 if op == "LANG" else 2)
-        if op in ("HASLANG", "HASLANGDIR"):
-            return "boolean", F.coalesce(part(1 if op == "HASLANG" else 2) != "", F.lit(False))
+        groups = re.compile(source[1].value).groups
+        out = []
+        for part in re.findall(r"\\.|\$[0-9]+|[^\\$]+|.", source[2].value, re.S):
+            if part in ("\\$", "\\\\"):
+                out.append(part)
+            elif re.fullmatch(r"\$[0-9]", part) and int(part[1]) <= groups:
+                out.append(part)
+            elif part[0] in "\\$":
+                return None
+            else:
+                out.append(part)
+        return mixed.like(args[0], F.regexp_replace(mixed.text_of(args[0]), pattern, "".join(out)))
+
+    def cast(self, name: str | None, x: Typed) -> Typed | None:
+        """Constructors with an exact column; integers of more than 38 digits have none."""
+        kind, c = x
+        if name == "boolean" and kind in ("string", "key"):
+            text = F.trim(mixed.plain(x), F.lit(mixed.BLANK))
+            from_text = F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
+            if kind == "string":
+                return "boolean", from_text
+            return "boolean", F.when(mixed.is_plain(c), from_text).when(mixed.datatype(c) == "boolean", mixed.boolean(x, True)).when(mixed.datatype(c).isin(*mixed.NUMBERS), mixed.ebv(c))
+        if name == "integer" and kind == "boolean":
+            return "integer", c.cast("bigint")
+        if name == "integer" and kind == "double":
+            # Whole doubles are exact in three limbs of 50 bits.
+            limb = 2.0**50
+            t = F.when(F.abs(c) < 1e38, F.abs(c))
+            top = F.floor(t / (limb * limb)).cast("double")
+            rest = t - top * (limb * limb)
+            mid = F.floor(rest / limb).cast("double")
+            low = F.floor(rest - mid * limb)
+            big = lambda v: v.cast("bigint").cast("decimal(38,0)")
+            whole_ = (big(top) * F.lit(2**50).cast("decimal(38,0)")).cast("decimal(38,0)") + big(mid)
+            value = (whole(whole_) * F.lit(2**50).cast("decimal(38,0)")).cast("decimal(38,0)") + big(low)
+            return "integer", F.when(c < 0, -whole(value)).otherwise(whole(value))
+        if name == "integer" and kind == "string":
+            text = F.trim(c, F.lit(mixed.BLANK))
+            return "integer", F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast("decimal(38,0)"))
+        if name == "double" and kind == "string":
+            text = F.trim(c, F.lit(mixed.BLANK))
+            return "key", F.when(text.rlike(mixed.java(FLOAT)), F.concat(F.lit(typed_prefix("double")), text))
+        if name == "decimal" and kind == "integer":
+            return "key", F.concat(F.lit(typed_prefix("decimal")), c.cast("string"))
+        if name == "dateTime" and kind == "string":
+            text = F.trim(c, F.lit(mixed.BLANK))
+            return "key", F.when(mixed.date_time(text).isNotNull(), F.concat(F.lit(typed_prefix("dateTime")), text))
         return None
 
     def choice(self, cond: object, yes: object, no: object) -> Typed | None:
         c, a, b = as_ebv(self.native(cond)), self.native(yes), self.native(no)
-        if c is None or a is None or b is None or a[0] != b[0]:
+        if c is None or a is None or b is None:
             return None
+        if a[0] != b[0]:
+            return "key", F.when(c, self.lexical_key(yes, a)).when(~c, self.lexical_key(no, b))
         x, y = (whole(a[1]), whole(b[1])) if a[0] == "integer" else (a[1], b[1])
         return a[0], F.when(c, x).when(~c, y)
 
@@ -159,6 +318,8 @@ class Compiler:
         if a is None or b is None:
             return None
         (ka, ca), (kb, cb) = a, b
+        if "key" in (ka, kb):
+            return mixed.equal(a, b)
         if ka in NUMBERS and kb in NUMBERS:
             if ka == kb == "integer":
                 return ca == cb
@@ -274,12 +435,9 @@ class Compiler:
             hit = F.substr(c, F.lit(1), at - 1) if op == "STRBEFORE" else F.substr(c, at + F.length(cols[1]))
             return "string", F.when(F.length(cols[1]) == 0, null("string")).when(at > 0, hit).when(at == 0, F.lit(""))
         if op == "REGEX" and isinstance(source[1], Literal):
-            p = source[1].value
             flags = source[2].value if len(source) > 2 and isinstance(source[2], Literal) else "" if len(source) == 2 else "?"
-            if SAFE_REGEX.fullmatch(p) and flags in ("", "i") and p.isascii() and balanced(p):
-                body = re.sub(r"\\.|\.", lambda m: m[0] if m[0] != "." else r"[^\n\r]", p[:-1] if p.endswith("$") and not p.endswith(r"\$") else p)
-                end = r"\z" if p.endswith("$") and not p.endswith(r"\$") else ""
-                return "boolean", F.rlike(c, F.lit(("(?iu)" if flags else "") + body + end)) if "|" not in p or not (p.startswith("^") or end) else None
+            pattern = java_regex(source[1].value, flags)
+            return None if pattern is None else ("boolean", F.rlike(c, F.lit(pattern)))
         return None
 
     # whole expressions
@@ -289,10 +447,10 @@ class Compiler:
         if isinstance(e, Variable):
             return self.env[e].kind, self.env[e].column
         x = self.native(e)
+        if isinstance(e, Literal) and x is not None and x[0] == "double" and float_text(float(e.value)) != e.value:
+            return "key", F.lit(key(e))  # a constant keeps the form it was written in
         if x is not None and x[1] is not None:
             return x
-        if not isinstance(e, Expression):
-            return "key", F.lit(key(e))
         return "key", self.by_batches(e, site, False)
 
     def condition(self, e: object, site: str) -> list[Column]:
@@ -305,13 +463,13 @@ class Compiler:
 
     def by_batches(self, e: object, site: str, as_boolean: bool) -> Column:
         names = sorted(expression_variables(e) if not mints(e) else self.env, key=lambda v: v.value)
-        context = self.context
+        context, kinds = self.context, [self.env[n].kind for n in names] if names else []
 
         def one(ks: tuple) -> object:
             if any(k is None for k in ks):  # Spark may run this before the filter that drops such a row
                 return None
             try:
-                t = exact.evaluate(e, {n: term(k) for n, k in zip(names, ks, strict=True)}, context, site)
+                t = exact.evaluate(e, {n: from_text(kind, k) for n, kind, k in zip(names, kinds, ks, strict=True)}, context, site)
                 return ebv(t) if as_boolean else key(t)
             except ExpressionError:
                 return None
@@ -321,11 +479,27 @@ class Compiler:
             out = one(())
             return F.lit(out).cast("boolean" if as_boolean else "string")
 
+        self.python = True
+
         @F.pandas_udf("boolean" if as_boolean else "string")
         def run(*cols: pd.Series) -> pd.Series:
             return pd.Series([one(ks) for ks in zip(*cols, strict=True)], dtype=object)
 
-        return run(*[key_of(self.env[n].kind, self.env[n].column) for n in names])
+        # Native values go as plain text: cheaper than keys, and Spark can't lift a Python call out of a plan if it holds lambdas.
+        return run(*[self.env[n].column if kind == "key" else self.env[n].column.cast("string") for n, kind in zip(names, kinds, strict=True)])
+
+
+def from_text(kind: str, text: str):
+    """The term of a native value, given as Spark prints it."""
+    if kind == "key":
+        return term(text)
+    if kind.startswith("ref:"):
+        return IRI(kind[4:] + text)
+    if kind == "double":
+        text = float_text(float(text))
+    elif kind == "dateTime":
+        text = text.replace(" ", "T")
+    return Literal(text, datatype=None if kind == "string" else XSD + kind)
 
 
 def balanced(p: str) -> bool:

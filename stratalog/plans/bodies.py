@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.functions.compiler import Compiler
+from stratalog.functions.compiler import Compiler, as_ebv
 from stratalog.functions.exact import Context
+from stratalog.functions.mixed import packed, unpacked
 from stratalog.operators.materialize import materialize
 from stratalog.operators.slots import Slot, equals_constant, key_of
 from stratalog.plans.model import Assign, Filter, Negation, Pattern, as_pattern_term, expression_variables
@@ -19,6 +20,13 @@ from stratalog.terms import IRI, Term, TripleTerm, Variable, variables
 Facts = Callable[[IRI | None], list[Relation]]
 
 
+def parted(sols: Solutions, compiler: Compiler) -> Solutions:
+    """sols, written first if a Python call would meet nested lambdas in its arguments: Spark can't lift it out of those."""
+    if compiler.python and "transform(" in sols.df._jdf.queryExecution().analyzed().toString():
+        return Solutions(materialize(sols.df), sols.env)
+    return sols
+
+
 @dataclass
 class Solutions:
     """A bag of solutions: a DataFrame and the slot of each variable."""
@@ -53,6 +61,8 @@ class BodyPlanner:
         self.spark, self.view, self.base, self.context, self.site = spark, view, base, context, site
         #: Patterns (by place in the body) that read another view: the deltas of semi-naive rounds.
         self.other: dict[int, View] = {}
+        #: Conditions of the body at hand, which narrow scans before they meet derived relations.
+        self.filters: list = []
 
     def one_row(self) -> Solutions:
         return Solutions(self.spark.range(1).select(), {})
@@ -127,7 +137,8 @@ class BodyPlanner:
         return Solutions(df.select(*[found[v].alias(s.name) for v, s in env.items()]), env)
 
     def fused(self, group: list[Pattern], view: View) -> Solutions | None:
-        """Patterns of one subject variable over one mapped table with a unique key: a single scan."""
+        """Patterns of one subject variable over one mapped table: a single scan. Rows of a table without unique keys
+        are equal where their keys are, so they count once."""
         rels = []
         for p in group:
             found, _ = view.of(p.predicate) if isinstance(p.predicate, IRI) else ([], False)
@@ -142,7 +153,10 @@ class BodyPlanner:
             df = df.where(r.object.isNotNull())
         cols = [rels[0].subject.alias("s"), *[r.object.alias(f"o{k}") for k, r in enumerate(rels)]]
         slots = {"s": Slot(rels[0].s_kind, "s"), **{f"o{k}": Slot(r.o_kind, f"o{k}") for k, r in enumerate(rels)}}
-        return self.bound((df.select(*cols), slots), [("s", subject), *[(f"o{k}", as_pattern_term(p.object)) for k, p in enumerate(group)]])
+        scanned = df.select(*cols)
+        if not rels[0].unique:
+            scanned = scanned.distinct()
+        return self.bound((scanned, slots), [("s", subject), *[(f"o{k}", as_pattern_term(p.object)) for k, p in enumerate(group)]])
 
     # joins
 
@@ -171,6 +185,7 @@ class BodyPlanner:
     def match(self, sols: Solutions | None, patterns: list[tuple[int, Pattern]], view: View) -> Solutions | None:
         """Patterns joined in: written order, except that one sharing variables goes before one that doesn't."""
         scans: list[tuple[Solutions, set[Variable]]] = []
+        groups: list[list[Pattern]] = []
         rest = list(patterns)
         while rest:
             i, first = rest.pop(0)
@@ -184,6 +199,8 @@ class BodyPlanner:
             else:
                 rest = [(j, p) for j, p in rest if p not in group[1:] or j in self.other]
             scans.append((one, set(one.env)))
+            groups.append(group)
+        self.narrow(scans, groups, view)
         while scans:
             if sols is None or not sols.env:
                 k = 0
@@ -193,10 +210,41 @@ class BodyPlanner:
             sols = one if sols is None else self.joined(sols, one)
         return sols
 
+    def narrow(self, scans: list[tuple[Solutions, set[Variable]]], groups: list[list[Pattern]], view: View) -> None:
+        """Semi-join what rules derive on demand with the base scans that a constant or condition makes small.
+
+        The optimizer moves a semi-join below the distinct and the joins of the rules, so that they derive less;
+        the joins that follow find the same solutions.
+        """
+        derived = lambda p: not isinstance(p.predicate, IRI) or bool(view.derived and view.derived(p.predicate))
+        on_demand = lambda p: isinstance(p.predicate, IRI) and view.derived and any(not r.stored for r in view.derived(p.predicate))
+        small: list[Solutions] = []
+        for (one, vs), group in zip(scans, groups, strict=True):
+            if any(derived(p) for p in group):
+                continue
+            conds = [c for f in self.filters if expression_variables(f) and expression_variables(f) <= vs for c in [as_ebv(Compiler(one.env, self.context).native(f))] if c is not None]
+            if conds or any(not isinstance(as_pattern_term(t), Variable) for p in group for t in (p.subject, p.object)):
+                df = one.df
+                for c in conds:
+                    df = df.where(c)
+                small.append(Solutions(df, one.env))
+        for k, ((one, vs), group) in enumerate(zip(scans, groups, strict=True)):
+            if not any(on_demand(p) for p in group):
+                continue
+            df = one.df
+            for s in small:
+                shared = [v for v in one.env if v in s.env and one.env[v].kind == s.env[v].kind]
+                if shared:
+                    keys = s.df.select(*[s.env[v].column.alias(fresh("k")) for v in shared])
+                    cond = [one.env[v].column == F.col(c) for v, c in zip(shared, keys.columns, strict=True)]
+                    df = df.join(keys, cond, "left_semi")
+            scans[k] = (Solutions(df, one.env), vs)
+
     # bodies
 
     def plan(self, body: tuple, view: View | None = None, sols: Solutions | None = None) -> Solutions:
         view = view or self.view
+        self.filters = [e.expression for e in body if isinstance(e, Filter)]
         run: list[tuple[int, Pattern]] = []
 
         def settle() -> None:
@@ -213,10 +261,15 @@ class BodyPlanner:
             if sols is None:
                 sols = self.one_row()
             if isinstance(e, Filter):
-                for c in Compiler(sols.env, self.context).condition(e.expression, f"{self.site}f{i}"):
+                compiler = Compiler(sols.env, self.context)
+                conds = compiler.condition(e.expression, f"{self.site}f{i}")
+                sols = parted(sols, compiler)
+                for c in conds:
                     sols = Solutions(sols.df.where(c), sols.env)
             elif isinstance(e, Assign):
-                kind, c = Compiler(sols.env, self.context).value(e.expression, f"{self.site}s{i}")
+                compiler = Compiler(sols.env, self.context)
+                kind, c = compiler.value(e.expression, f"{self.site}s{i}")
+                sols = parted(sols, compiler)
                 name = fresh("v")
                 df = sols.df.withColumn(name, c)
                 sols = Solutions(df.where(F.col(name).isNotNull()), {**sols.env, e.variable: Slot(kind, name, 38)})
@@ -234,14 +287,15 @@ class BodyPlanner:
             if isinstance(f, Filter):
                 (own if expression_variables(f.expression) <= set(inner.env) else mixed).append((k, f))
         for k, f in own:
-            for c in Compiler(inner.env, self.context).condition(f.expression, f"{site}f{k}"):
+            compiler = Compiler(inner.env, self.context)
+            conds = compiler.condition(f.expression, f"{site}f{k}")
+            inner = parted(inner, compiler)
+            for c in conds:
                 inner = Solutions(inner.df.where(c), inner.env)
         if not mixed:
             return self.joined(sols, inner, "left_anti")
         env = {**inner.env, **sols.env}
         natives = [Compiler(env, self.context).native(f.expression) for _, f in mixed]
-        from stratalog.functions.compiler import as_ebv
-
         cols = [as_ebv(x) if x is not None and x[1] is not None else None for x in natives]
         if all(c is not None for c in cols):
             extra = cols[0]
@@ -253,22 +307,13 @@ class BodyPlanner:
         outer = Solutions(materialize(sols.df.withColumn(mark, F.monotonically_increasing_id())), sols.env)
         hit = self.joined(outer, inner)
         for k, f in mixed:
-            for c in Compiler(hit.env, self.context).condition(f.expression, f"{site}f{k}"):
+            compiler = Compiler(hit.env, self.context)
+            conds = compiler.condition(f.expression, f"{site}f{k}")
+            hit = parted(hit, compiler)
+            for c in conds:
                 hit = Solutions(hit.df.where(c), hit.env)
         drop = hit.df.select(mark).distinct()
         return Solutions(outer.df.join(drop, mark, "left_anti").drop(mark), sols.env)
 
 
-def unpacked(k: Column) -> tuple[Column, Column, Column]:
-    """Keys of a triple term's parts: T<n>:<s><m>:<p><o>. NULL for other terms."""
-    body = F.when(F.substr(k, F.lit(1), F.lit(1)) == "T", F.substr(k, F.lit(2)))
-    n = F.substring_index(body, ":", 1).cast("int")
-    rest = F.substr(body, F.position(F.lit(":"), body) + 1)
-    after = F.substr(rest, n + 1)
-    m = F.substring_index(after, ":", 1).cast("int")
-    tail = F.substr(after, F.position(F.lit(":"), after) + 1)
-    return F.substr(rest, F.lit(1), n), F.substr(tail, F.lit(1), m), F.substr(tail, m + 1)
-
-
-def packed(s: Column, p: Column, o: Column) -> Column:
-    return F.concat(F.lit("T"), F.length(s).cast("string"), F.lit(":"), s, F.length(p).cast("string"), F.lit(":"), p, o)
+__all__ = ["BodyPlanner", "Solutions", "View", "packed"]

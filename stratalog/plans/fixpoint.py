@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from stratalog.errors import FixpointError
 from stratalog.functions.exact import Context
-from stratalog.operators.materialize import materialize
-from stratalog.operators.slots import key_of
+from stratalog.operators.materialize import materialize, stored
+from stratalog.operators.slots import equals_constant, key_of
 from stratalog.plans.analysis import feeds, relevant
 from stratalog.plans.bodies import BodyPlanner, Solutions, View, packed
 from stratalog.plans.model import Negation, Pattern, PreparedRuleSet, Rule
@@ -45,7 +45,13 @@ class Facts:
         by_kind = defaultdict(list)
         for r in self.tables[p]:
             by_kind[r.s_kind, r.o_kind].append(r.df)
-        self.tables[p] = [Relation(materialize(_union(dfs)) if len(dfs) >= COMPACT else _union(dfs), *kinds) for kinds, dfs in by_kind.items()]
+        self.tables[p] = [Relation(materialize(_union(dfs)) if len(dfs) >= COMPACT else _union(dfs), *kinds, stored=True) for kinds, dfs in by_kind.items()]
+
+    def store(self, patterns: list[Pattern]) -> None:
+        """Write what patterns read of facts that are still computed on demand: rounds read them again and again."""
+        wanted = {p.predicate.value if isinstance(p.predicate, IRI) else None for p in patterns}
+        for name in [n for n in self.tables if None in wanted or n is None or n in wanted]:
+            self.tables[name] = [r if r.stored else replace(r, frame=materialize(r.df), stored=True) for r in self.tables[name]]
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
@@ -103,9 +109,11 @@ def head_relations(rule: Rule, number: int, sols: Solutions, salt: str) -> list[
 
 
 class Evaluator:
-    def __init__(self, spark: SparkSession, prepared: PreparedRuleSet, base: Source, context: Context, max_rounds: int = 1000, only: set[int] | None = None):
+    def __init__(self, spark: SparkSession, prepared: PreparedRuleSet, base: Source, context: Context, max_rounds: int = 1000, only: set[int] | None = None, ends: dict[str, dict[str, Term]] | None = None):
         self.spark, self.prepared, self.base, self.context = spark, prepared, base, context
         self.max_rounds, self.only = max_rounds, only
+        #: Ends of predicates that the goal fixes (see analysis.kept_ends): other triples of theirs aren't derived.
+        self.ends = ends or {}
         self.facts = Facts()
         self.rounds = 0
 
@@ -150,6 +158,9 @@ class Evaluator:
         """Distinct triples that neither base nor facts hold, one table for each predicate and pair of kinds."""
         groups: dict[str | None, dict[tuple[str, str], list[DataFrame]]] = defaultdict(lambda: defaultdict(list))
         for p, r in found:
+            for end, t in self.ends.get(p, {}).items():
+                cond = equals_constant(r.s_kind if end == "s" else r.o_kind, F.col(end), t)
+                r = replace(r, frame=r.df.where(F.lit(False) if cond is None else cond))
             groups[p][r.s_kind, r.o_kind].append(r.df)
         # A predicate with facts of unknown predicates beside it, or of several kinds, compares by key.
         any_p = None in groups or self.facts.tables.get(None)
@@ -184,9 +195,10 @@ class Evaluator:
         for p, rels in new.items():
             for r in rels:
                 if not lazy:
-                    r = replace(r, frame=materialize(r.df))
-                    if r.df.isEmpty():
+                    frame, rows = stored(r.df)
+                    if not rows:
                         continue
+                    r = replace(r, frame=frame, stored=True)
                 self.facts.add(p, r)
                 kept[p].append(r)
             if len(self.facts.tables[p]) >= COMPACT and not lazy:
@@ -207,6 +219,7 @@ class Evaluator:
         if not recursive:
             self.keep(self.new([x for i in general for x in self.derive(i)]), lazy=True)
             return
+        self.facts.store([e for i in recursive for e in self.rules[i].body if isinstance(e, Pattern)])
         delta = self.keep(self.new([x for i in general for x in self.derive(i)]), lazy=False)
         for _ in range(self.max_rounds):
             self.rounds += 1

@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F_
 
 from stratalog.errors import ExpressionError
 from stratalog.functions.compiler import Compiler
@@ -73,6 +74,87 @@ NATIVE = [
 ]
 
 
+#: Over keys of any terms: comparisons, functions and casts that must agree and must not need Python.
+PAIRS = ["?k = ?l", "?k != ?l", "?k < ?l", "?k <= ?l", "?k > ?l", "?k >= ?l", "?k IN (?l, 1)", "?k && ?l", "?k || ?l", "CONCAT(?k, ?l)", "CONTAINS(?k, ?l)", "STRBEFORE(?k, ?l)", "STRAFTER(?k, ?l)", "STRSTARTS(?k, ?l)", "STRENDS(?k, ?l)", "SAMETERM(?k, ?l)", "IF(?k, ?l, 1)", "LANGMATCHES(LANG(?k), ?l)", "STRLANG(?k, ?l)", "TRIPLE(?k, ?l, 1)", "TRIPLE(?k, :p, ?l)"]
+SINGLES = [
+    "?k > 30", "?k = 1", "?k < 1.5e0", "2.5 >= ?k", '?k = "a"', '?k < "b"', '?k >= "2020-01-01T00:00:00"^^xsd:dateTime', "?k = true", "!?k", "?k = ?i", "?d > ?k", "?s = ?k", "?s <= ?k", "?b = ?k", "?k = <urn:r:2>", "?r = ?k", "?k IN (1, \"a\", 2.5)", "?k NOT IN (?i, ?d)", "IF(?b, ?k, ?s)", "IF(?b, ?i, ?d)",
+    "DATATYPE(?k)", "DATATYPE(?i)", "DATATYPE(?s)", "ISNUMERIC(?k)", "STRLEN(?k)", "UCASE(?k)", "LCASE(?k)", "SUBSTR(?k, 2)", "SUBSTR(?k, ?i, 2)", "CONCAT(?k, ?s)", 'CONTAINS(?k, "a")', "CONTAINS(?s, ?k)", 'STRBEFORE(?k, "-")', 'STRAFTER(?k, "a")', 'STRAFTER(?k, "")', "ENCODE_FOR_URI(?k)", 'REGEX(?k, "^a")', 'REPLACE(?k, "(a)(.)", "$2-\\\\$")', 'REPLACE(?s, "a", "bb")',
+    "SUBJECT(?k)", "PREDICATE(?k)", "OBJECT(?k)", "STRDT(?k, xsd:integer)", "STRDT(?s, :t)", 'STRLANG(?s, "EN")', 'STRLANGDIR(?k, "en", "ltr")', "IRI(?k)", "IRI(?s)", "YEAR(?k)", "MONTH(?k)", "DAY(?k)", "HOURS(?k)", "MINUTES(?k)", "TZ(?k)", "TIMEZONE(?k)", "xsd:boolean(?k)", "xsd:boolean(?s)", "xsd:integer(?d)", "xsd:integer(?s)", "xsd:double(?s)", "xsd:decimal(?i)", "xsd:dateTime(?s)", "xsd:integer(?b)", "SAMETERM(?k, 1.0e0)", "SAMETERM(?i, ?k)", "ISTRIPLE(?k) && SUBJECT(?k) = :a", '?k = <<( :a :b 1.0 )>>', "STR(?d)", "?d = ?k",
+]
+PYTHON = ["?k + ?i", "?i / ?j", "ABS(?k)", 'REGEX(?s, "\\\\p{Lu}")', "xsd:decimal(?k)"]
+XS = "http://www.w3.org/2001/XMLSchema#"
+MIXED = [
+    *[Literal(v, datatype=XS + "integer") for v in ("0", "1", "-1", "01", "+1", "-0", "31", "2", "x", " 30 ", "9" * 45, "-" + "9" * 45, "1" + "0" * 44)],
+    *[Literal(v, datatype=XS + "decimal") for v in ("1.0", "2.5", "-2.50", "0.0", ".5", "5.", "1e0", "123456789012345678901234567890.123456789012345678901234567890", "1.000000000000000000000000000000000001")],
+    *[Literal(v, datatype=XS + "double") for v in ("1.0", "1e0", "NaN", "INF", "-INF", "0.1", "-0.0", "1E400", "2.5", "x")],
+    *[Literal(v, datatype=XS + "float") for v in ("0.1", "1.0", "NaN", "16777217", "1e39")],
+    *[Literal(v, datatype=XS + t) for t, vs in {"byte": ("1", "127", "128", "-0128"), "unsignedLong": ("18446744073709551615", "-1", "-0"), "negativeInteger": ("-3", "0"), "positiveInteger": ("2", "0")}.items() for v in vs],
+    *[Literal(v, datatype=XS + "boolean") for v in ("true", "false", "1", "0", " true", "x")],
+    *[Literal(v, datatype=XS + "dateTime") for v in ("2020-01-01T00:00:00", "2020-01-01T00:00:00Z", "2019-12-31T24:00:00", "2020-01-01T01:00:00+01:00", "2020-01-01T00:00:00.50", "2020-01-01T00:00:00.5", "2020-02-30T00:00:00", "-0044-03-15T00:00:00Z", "12020-02-29T12:30:00-05:30", "0000-01-01T00:00:00", "1900-02-29T00:00:00", "2000-02-29T23:59:59.999999999999Z", "bad")],
+    *[Literal(v, datatype=XS + "date") for v in ("2020-01-01", "2020-01-01Z", "2019-12-31-14:00", "2020-13-01")], *[Literal(v, datatype=XS + "time") for v in ("24:00:00", "00:00:00", "12:00:00+01:00", "11:00:00Z", "25:00:00")],
+    *[Literal(v, datatype=XS + t) for t, vs in {"duration": ("P1Y", "P12M", "P1YT1S", "-P1Y", "PT60S", "PT1M", "P", "P1YT"), "dayTimeDuration": ("P1D", "PT24H", "P1Y", "PT1.50S"), "yearMonthDuration": ("P1Y", "P12M", "P1D")}.items() for v in vs],
+    Literal("a"), Literal("b"), Literal(""), Literal("a-b"), Literal("en"), Literal("EN-us"), Literal("ab"), Literal("a", "en"), Literal("ab", "en"), Literal("a", "en", "ltr"), Literal("b", "de"), Literal("", "en"), Literal("a", datatype="http://x/t"), Literal("b", datatype="http://x/t"), Literal("urn:r:2"), Literal("no iri"), Literal("2020-05-06T07:08:09Z"),
+    IRI("urn:r:2"), IRI("http://x/a"), BNode("b"), BNode("c"), TripleTerm(IRI("http://x/a"), IRI("http://x/b"), Literal("1", datatype=XS + "integer")), TripleTerm(IRI("http://x/a"), IRI("http://x/b"), Literal("1.0", datatype=XS + "decimal")), TripleTerm(IRI("http://x/a"), IRI("http://x/b"), Literal("b", datatype="http://x/t")),
+    TripleTerm(BNode("b"), IRI("http://x/b"), TripleTerm(IRI("http://x/a"), IRI("http://x/b"), Literal("NaN", datatype=XS + "double"))), TripleTerm(BNode("b"), IRI("http://x/b"), TripleTerm(IRI("http://x/a"), IRI("http://x/b"), Literal("nan", datatype=XS + "double"))),
+]
+
+
+def agree(df, kinds, texts, context=None):
+    """Column values of the expressions against the exact evaluator's; none may need Python."""
+    env = {Variable(k): Slot(kind, k) for k, kind in kinds.items()}
+    context = context or Context()
+    outs = []
+    for n, t in enumerate(texts):
+        c = Compiler(env, context)
+        assert c.native(expr(t)) is not None, t
+        outs.append((t, key_of(*c.value(expr(t), "x")).alias(f"o{n}")))
+    inputs = [key_of(kind, df[k]).alias(f"in_{k}") for k, kind in kinds.items()]
+    for k in range(0, len(outs), 8):
+        part = outs[k : k + 8]
+        for r in df.select(*inputs, *[o for _, o in part]).collect():
+            row = {Variable(v): term(r[f"in_{v}"]) for v in kinds}
+            for n, (t, _) in enumerate(part, k):
+                try:
+                    want = evaluate(expr(t), row, context, "x")
+                except ExpressionError:
+                    want = None
+                got = r[f"o{n}"] and term(r[f"o{n}"])
+                assert got == want, (t, {v.value: key(x) for v, x in row.items()}, want, got)
+
+
+def test_pairs_of_mixed_terms(spark):
+    keys = [key(t) for t in MIXED]
+    rng = random.Random(4)
+    some = [(a, b) for a in keys for b in rng.sample(keys, 25)] + [(a, a) for a in keys]
+    agree(spark.createDataFrame(some, "k string, l string").repartition(4).cache(), dict(k="key", l="key"), PAIRS)
+
+
+def test_mixed_terms_beside_native_ones(spark):
+    rng = random.Random(5)
+    strings = ["", "a", "ab", "b", "a-b", "en", "urn:r:2", "http://x/a b", " 12 ", "-0", "1.5", "1e3", "INF", "true", "0", "2020-05-06T07:08:09Z", "9" * 30]
+    doubles = [0.0, -0.0, 1.0, 2.5, -2.5, 31.0, 1e16, 1e17 + 16, 1.5e300, 123456789.125, 1e-5, 0.0001, 1.45800632428665e17, 5e-324, 2.0**70 + 2**20, -(2.0**100), float("nan"), float("inf")]
+    rows = [(key(t), rng.randint(-2, 3), rng.choice([d for d in doubles if abs(d) < 1e38 or d != d]), rng.choice(strings), rng.random() < 0.5, rng.randint(1, 3), rng.randint(0, 3)) for t in MIXED * 3]
+    df = spark.createDataFrame(rows, "k string, i bigint, d double, s string, b boolean, r bigint, j bigint").repartition(4).cache()
+    kinds = dict(k="key", i="integer", d="double", s="string", b="boolean", r="ref:urn:r:", j="integer")
+    agree(df, kinds, SINGLES)
+    env = {Variable(k): Slot(kind, k) for k, kind in kinds.items()}
+    assert all(Compiler(env, Context()).native(expr(t)) is None for t in PYTHON)
+
+
+def test_doubles_have_one_form(spark):
+    """The key of a native double is the exact evaluator's, so the two paths join."""
+    import struct
+
+    from stratalog.functions.values import float_text
+
+    rng = random.Random(6)
+    some = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(4000)] + [rng.uniform(-1e20, 1e20) for _ in range(2000)] + [float(rng.randrange(10**17, 10**19)) for _ in range(2000)] + [rng.random() * 10 ** rng.randint(-8, 20) for _ in range(2000)]
+    some += [0.0, -0.0, 1e7, 1e8, 123456789.0, 1e15, 1e16, 9999999999999998.0, 0.001, 0.0001, 0.00001, 1.1e-5, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, 2e23, 1e23, 1.45800632428665e17, 2.82879384806159e17, 1.387364135037754e18, math.inf, -math.inf, math.nan]
+    rows = spark.createDataFrame([(x,) for x in some], "x double").select("x", key_of("double", F_.col("x")).alias("k")).collect()
+    wrong = [(r.x, r.k) for r in rows if r.k != key(Literal(float_text(r.x), datatype=XS + "double"))]
+    assert not wrong, wrong[:5]
+
+
 INT = "http://www.w3.org/2001/XMLSchema#integer"
 TERMS = [IRI("urn:r:2"), IRI("urn:r:3"), BNode("b"), Literal("x\x01y", "en", "ltr"), Literal("1", datatype=INT), Literal("01", datatype=INT), Literal("z", datatype=INT), Literal("a"), TripleTerm(IRI("a"), IRI("b"), Literal("c"))]
 
