@@ -1,17 +1,23 @@
 """Registered queries: goals over mapped tables, each with equivalent SQL."""
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.api import query
+from stratalog.api import infer_frame, query, text
+from stratalog.bridge import handle_request_json
 from stratalog.functions.exact import FunctionRegistry
+from stratalog.operators.materialize import shared_dir
+from stratalog.sources.graph import Graph, parse_data, read_ntriples
 from stratalog.sources.imports import MappingImportResolver
 from stratalog.sources.relations import Mapping, Source
-from stratalog.terms import XSD, Literal
+from stratalog.sources.results import write_ntriples
+from stratalog.terms import XSD, Literal, term
 
 TABLES: dict[str, tuple[str, dict[str, str]]] = {
     "region": ("r_regionkey", {}),
@@ -43,7 +49,7 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> Source:
         elif name == "conversations":
             df = df.withColumn(k, F.concat_ws("/", "conv_id", "turn")).withColumn("next_id", F.concat_ws("/", "conv_id", F.col("turn") + 1))
             links = {"next_id": name}
-        out.add_mapping(Mapping(name, df, k, {c: f"urn:t:{t}:" for c, t in links.items()}))
+        out.add_mapping(Mapping(name, df, k, {c: f"urn:t:{t}:" for c, t in links.items()}, unique=name != "lineitem"))
     return out
 
 
@@ -57,9 +63,19 @@ class Query:
     rules: str = ""
     project: Callable[[DataFrame], DataFrame] | None = None
     options: Callable[[], dict] | None = None
+    #: More data, added to the mapped tables.
+    data: Callable[[SparkSession, str, Source], None] | None = None
+    #: Another way to run than query().
+    how: Callable[[SparkSession, str, Source, str, str], DataFrame] | None = None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = query(PREFIXES + self.rules, tables(spark, sf_dir, *self.tables), PREFIXES + self.goal, spark=spark, **(self.options() if self.options else {}))
+        source = tables(spark, sf_dir, *self.tables)
+        if self.data:
+            self.data(spark, sf_dir, source)
+        rules, goal = PREFIXES + self.rules, PREFIXES + self.goal
+        if self.how:
+            return self.how(spark, sf_dir, source, rules, goal)
+        r = query(rules, source, goal, spark=spark, **(self.options() if self.options else {}))
         return self.project(r.frame) if self.project else r.frame
 
 
@@ -73,8 +89,63 @@ def registry() -> dict:
     return {"function_registry": reg}
 
 
+def shout_columns(x):
+    """shout() over columns; other kinds are left to the function of terms."""
+    kind, c = x
+    return ("string", F.concat(F.upper(c), F.lit("!"))) if kind == "string" else None
+
+
+def column_registry() -> dict:
+    reg = FunctionRegistry()
+    reg.register("urn:x:shout", shout, shout_columns)
+    return {"function_registry": reg}
+
+
+#: Three facts about nations, in every format that documents come in.
+DOCUMENTS = {
+    "turtle": "@prefix n: <urn:t:nation:> . @prefix : <urn:x:> . :a :about n:1 , n:2 ; :note \"x\"@en . :b :about n:3 .",
+    "nt": "<urn:x:a> <urn:x:about> <urn:t:nation:1> .\n<urn:x:a> <urn:x:about> <urn:t:nation:2> .\n<urn:x:b> <urn:x:about> <urn:t:nation:3> .\n",
+    "trig": "@prefix n: <urn:t:nation:> . @prefix : <urn:x:> . { :a :about n:1 } :g { :a :about n:2 . :b :about n:3 }",
+    "nquads": "<urn:x:a> <urn:x:about> <urn:t:nation:1> .\n<urn:x:a> <urn:x:about> <urn:t:nation:2> <urn:x:g> .\n<urn:x:b> <urn:x:about> <urn:t:nation:3> <urn:x:g> .\n",
+    "rdfxml": '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:x="urn:x:"><rdf:Description rdf:about="urn:x:a"><x:about rdf:resource="urn:t:nation:1"/><x:about rdf:resource="urn:t:nation:2"/></rdf:Description><rdf:Description rdf:about="urn:x:b"><x:about rdf:resource="urn:t:nation:3"/></rdf:Description></rdf:RDF>',
+    "jsonld": '{"@context": {"about": {"@id": "urn:x:about", "@type": "@id"}}, "@graph": [{"@id": "urn:x:a", "about": ["urn:t:nation:1", "urn:t:nation:2"]}, {"@id": "urn:x:b", "about": "urn:t:nation:3"}]}',
+}
+DOCUMENT_SQL = "SELECT 'urn:x:' || d AS d, n_name AS name FROM (VALUES ('a', 1), ('a', 2), ('b', 3)) AS x(d, k) JOIN nation ON n_nationkey = k"
+
+
+def document(format: str) -> Query:
+    """A document of one format, joined with a mapped table."""
+    def add(spark: SparkSession, sf_dir: str, source: Source) -> None:
+        source.add_triples(parse_data(DOCUMENTS[format], format, dataset_policy="union"))
+
+    return Query(("nation",), "{ ?d :about ?n . ?n c:n_name ?name }", DOCUMENT_SQL, project=KEEP("d", "name"), data=add)
+
+
+def through_files(spark: SparkSession, sf_dir: str, source: Source) -> None:
+    """Nations as an N-Triples file, written and parsed on the executors."""
+    path = f"{shared_dir(spark)}/stratalog-nt-{uuid.uuid4().hex}"
+    write_ntriples(tables(spark, sf_dir, "nation").everything(), path)
+    source.add_table(read_ntriples(spark, path))
+
+
+def inferred(spark: SparkSession, sf_dir: str, source: Source, rules: str, goal: str) -> DataFrame:
+    """All that infer_frame derives, as text."""
+    df = infer_frame(rules, source, spark=spark)
+    return df.select(*[text("key", F.col(c)).alias(c) for c in "spo"])
+
+
+def bridged(spark: SparkSession, sf_dir: str, source: Source, rules: str, goal: str) -> DataFrame:
+    """A request of the JSON bridge over the regions, which are few."""
+    data = Graph(tuple(map(term, r)) for r in source.everything().collect()).serialize("nt")
+    out = json.loads(handle_request_json(json.dumps({"id": 1, "action": "query", "rules": rules, "data": data, "goal": goal, "options": {"dataFormat": "nt"}})))
+    rows = [(b["x"]["value"], b["name"]["value"]) for b in out["result"]["results"]["bindings"]]
+    return spark.createDataFrame(rows, "x string, name string")
+
+
 IMPORTED = PREFIXES + "IMPORTS <urn:doc:b> RULE { ?n :named ?x } WHERE { ?n c:n_name ?x }"
 IMPORTED_B = PREFIXES + "RULE { ?r :named ?x } WHERE { ?r c:r_name ?x }"
+# Integer types that hold the key of every nation but 0.
+INTEGER_CASTS = ("integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte")
 KEEP = lambda *names: lambda df: df.select(*names)
 TURNS = "RULE { ?a :next ?b } WHERE { ?a fk:next_id ?b . ?b c:conv_id ?k } "
 ID = lambda *names: lambda df: df.select(*[F.regexp_extract(n, r"[^:]*$", 0).alias(n) for n in names])
@@ -90,13 +161,13 @@ QUERIES: dict[str, Query] = {
     "join_chain": Query(("customer", "nation", "region"), "{ ?c :inRegion ?r . ?c c:c_custkey ?k . ?r c:r_name ?region }",
         "SELECT c_custkey AS k, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
         "RULE { ?c :inRegion ?r } WHERE { ?c fk:c_nationkey ?n . ?n fk:n_regionkey ?r }", KEEP("k", "region")),
-    "seq_path": Query(("orders", "customer", "nation"), "{ ?o c:o_orderkey ?k ; fk:o_custkey/fk:c_nationkey/c:n_name ?nation FILTER(?k < 2000) }",
-        "SELECT o_orderkey AS k, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey < 2000", project=KEEP("k", "nation")),
+    "seq_path": Query(("orders", "customer", "nation"), "{ ?o c:o_orderkey ?k ; fk:o_custkey/fk:c_nationkey/c:n_name ?nation }",
+        "SELECT o_orderkey AS k, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey", project=KEEP("k", "nation")),
     "inverse_path": Query(("orders", "customer", "nation"), "{ ?n c:n_name ?nation ; ^fk:c_nationkey/^fk:o_custkey/c:o_orderstatus ?status }",
         "SELECT n_name AS nation, o_orderstatus AS status FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey", project=KEEP("nation", "status")),
     "repeated_var": Query(("orders", "lineitem"), "{ ?x :same ?x . ?x c:o_orderkey ?k }",
-        "SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)",
-        "RULE { ?o :same ?o } WHERE { ?o c:o_orderkey ?k FILTER(FLOOR(xsd:double(?k) / 7.0e0) * 7.0e0 = xsd:double(?k)) } RULE { ?o :same ?o } WHERE { ?l fk:l_orderkey ?o ; c:l_quantity ?q FILTER(?q > 49) }", KEEP("k")),
+        "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 200000 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)",
+        "RULE { ?o :same ?o } WHERE { ?o c:o_totalprice ?t FILTER(?t > 200000) } RULE { ?o :same ?o } WHERE { ?l fk:l_orderkey ?o ; c:l_quantity ?q FILTER(?q > 49) }", KEEP("k")),
     "var_predicate": Query(("region",), "{ <urn:t:region:1> ?p ?v }",
         "SELECT 'urn:c:r_regionkey' AS p, r_regionkey::VARCHAR AS v FROM region WHERE r_regionkey = 1 UNION ALL SELECT 'urn:c:r_name', r_name FROM region WHERE r_regionkey = 1"),
     "cross_product": Query(("region",), "{ ?a c:r_name ?x . ?b c:r_name ?y }", "SELECT a.r_name AS x, b.r_name AS y FROM region a CROSS JOIN region b", project=KEEP("x", "y")),
@@ -167,4 +238,50 @@ QUERIES: dict[str, Query] = {
     "derived_join": Query(("lineitem", "orders", "customer", "part"), "{ ?c :wants ?p . ?p c:p_size ?z FILTER(?z > 45) }",
         "SELECT DISTINCT 'urn:t:customer:' || o_custkey AS c, 'urn:t:part:' || l_partkey AS p, p_size::BIGINT AS z FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size > 45",
         "RULE { ?c :wants ?p } WHERE { ?l fk:l_partkey ?p ; fk:l_orderkey ?o . ?o fk:o_custkey ?c }"),
+    "theta_join": Query(("nation",), "{ ?a c:n_nationkey ?x ; c:n_regionkey ?r . ?b c:n_nationkey ?y ; c:n_regionkey ?r FILTER(?x < ?y) }",
+        "SELECT a.n_nationkey::BIGINT AS x, b.n_nationkey::BIGINT AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", project=KEEP("x", "y")),
+    "negation_uncorrelated": Query(("region", "nation"), "{ ?r c:r_name ?name NOT { ?x :nothing ?y } }", "SELECT r_name AS name FROM region", project=KEEP("name")),
+    "negation_empty": Query(("region",), "{ ?r c:r_name ?name NOT { } }", "SELECT r_name AS name FROM region WHERE false", project=KEEP("name")),
+    "blank_in_body": Query(("orders", "customer"), "{ _:o fk:o_custkey ?c ; c:o_orderstatus ?s . ?c c:c_name ?name }",
+        "SELECT o_orderstatus AS s, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey", project=KEEP("s", "name")),
+    "anonymous_objects": Query(("nation", "region"), "{ ?n fk:n_regionkey [ c:r_name ?region ] ; c:n_name ?name }", "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey", project=KEEP("name", "region")),
+    "reifiers": Query(("nation", "region"), "{ ?n fk:n_regionkey ?r ~ ?x {| :by ?who |} . ?n c:n_name ?name }", "SELECT n_name AS name, r_name AS who FROM nation JOIN region ON n_regionkey = r_regionkey",
+        "PREFIX rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> RULE { ?n rdf:reifies <<( ?n fk:n_regionkey ?r )>> . ?n :by ?w } WHERE { ?n fk:n_regionkey ?r . ?r c:r_name ?w }", KEEP("name", "who")),
+    "logic": Query(("customer",), '{ ?c c:c_custkey ?k ; c:c_acctbal ?b ; c:c_mktsegment ?m FILTER(!(?b > 0 && ?m = "BUILDING") && (?m IN ("BUILDING", "MACHINERY") || +?b >= -?b)) }',
+        "SELECT c_custkey AS k FROM customer WHERE NOT (c_acctbal > 0 AND c_mktsegment = 'BUILDING') AND (c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_acctbal >= -c_acctbal)", project=KEEP("k")),
+    "equal_triple_terms": Query(("nation", "region"), "{ ?n :says ?t . ?n c:n_name ?name FILTER(?t = <<( <urn:x:s> <urn:x:p> 1.0 )>>) }", "SELECT n_name AS name FROM nation WHERE n_regionkey = 1",
+        "RULE { ?n :says <<( :s :p ?k )>> } WHERE { ?n c:n_regionkey ?k }", KEEP("name")),
+    "language_functions": Query(("nation",), '{ ?n c:n_nationkey ?k ; c:n_name ?x SET(?t := STRLANGDIR(?x, "en-GB", "rtl")) SET(?d := LANGDIR(?t)) SET(?l := LANG(?t)) SET(?low := STR(LCASE(?t))) FILTER(HASLANG(?t) && HASLANGDIR(?t) && !HASLANG(?x) && LANGMATCHES(?l, "EN") && LANGMATCHES(?l, "*")) }',
+        "SELECT n_nationkey::BIGINT AS k, 'rtl' AS d, 'en-gb' AS l, lower(n_name) AS low FROM nation", project=KEEP("k", "d", "l", "low")),
+    "triple_functions": Query(("nation", "region"), '{ ?n fk:n_regionkey ?r ; c:n_nationkey ?k ; c:n_name ?name SET(?t := TRIPLE(?n, URI("urn:x:in"), ?r)) SET(?s := STR(SUBJECT(?t))) SET(?p := STR(PREDICATE(?t))) SET(?o := STR(OBJECT(?t))) SET(?v := STRDT(STR(?k), xsd:integer)) FILTER(ISTRIPLE(?t) && ISURI(OBJECT(?t)) && !ISBLANK(?n) && ?v = ?k) }',
+        "SELECT 'urn:t:nation:' || n_nationkey AS s, 'urn:x:in' AS p, 'urn:t:region:' || n_regionkey AS o FROM nation", project=KEEP("s", "p", "o")),
+    "minting_functions": Query(("nation",), '{ ?n c:n_name ?name SET(?u := UUID()) SET(?s := STRUUID()) SET(?b := BNODE()) SET(?now := NOW()) FILTER(ISBLANK(?b) && STRSTARTS(STR(?u), "urn:uuid:") && STRLEN(?s) = 36 && YEAR(?now) > 2000) }',
+        "SELECT n_name AS name FROM nation", project=KEEP("name")),
+    "time_functions": Query(("events",), '{ ?e c:event_id ?k ; c:ts ?t SET(?z := xsd:dateTime(CONCAT(STR(?t), "-05:30"))) SET(?sec := STR(SECONDS(?t))) SET(?off := STR(TIMEZONE(?z))) SET(?tz := TZ(?z)) SET(?none := TZ(?t)) SET(?h := HOURS(?z)) FILTER(?z > ?t) }',
+        "SELECT event_id AS k, CASE WHEN date_part('microsecond', ts) % 1000000 = 0 THEN date_part('second', ts)::VARCHAR ELSE rtrim(date_part('second', ts)::VARCHAR || '.' || lpad((date_part('microsecond', ts) % 1000000)::VARCHAR, 6, '0'), '0') END AS sec, '-PT5H30M' AS off, '-05:30' AS tz, '' AS none, hour(ts)::BIGINT AS h FROM events", project=KEEP("k", "sec", "off", "tz", "none", "h")),
+    "integer_division": Query(("nation",), "{ ?n c:n_nationkey ?k SET(?q := STR(?k / 4)) SET(?w := STR(DATATYPE(?k / 4))) }",
+        f"SELECT n_nationkey::BIGINT AS k, (n_nationkey // 4)::VARCHAR || ['', '.25', '.5', '.75'][n_nationkey % 4 + 1] AS q, '{XSD}decimal' AS w FROM nation", project=KEEP("k", "q", "w")),
+    "casts_integers": Query(("nation",), "{ ?n c:n_nationkey ?k " + " ".join(f"SET(?{t} := STR(xsd:{t}(STR(?k))))" for t in INTEGER_CASTS) + " }",
+        "SELECT " + ", ".join(f"n_nationkey::VARCHAR AS {t}" for t in INTEGER_CASTS) + " FROM nation WHERE n_nationkey > 0", project=lambda df: df.select(*INTEGER_CASTS)),
+    "casts_signed": Query(("nation",), "{ ?n c:n_nationkey ?k SET(?m := STR(xsd:negativeInteger(-?k))) SET(?p := STR(xsd:nonPositiveInteger(-?k))) }", "SELECT (-n_nationkey)::VARCHAR AS m, (-n_nationkey)::VARCHAR AS p FROM nation WHERE n_nationkey > 0", project=KEEP("m", "p")),
+    "casts_decimals": Query(("customer",), "{ ?c c:c_custkey ?k ; c:c_acctbal ?b SET(?d := STR(xsd:decimal(?k))) SET(?f := STR(xsd:float(?k))) SET(?e := STR(xsd:double(CONCAT(STR(?k), \"e2\")))) SET(?x := STR(xsd:decimal(?b))) }",
+        "SELECT c_custkey AS k, c_custkey::VARCHAR AS d, c_custkey::VARCHAR || '.0' AS f, c_custkey || 'e2' AS e, c_acctbal::VARCHAR AS x FROM customer", project=KEEP("k", "d", "f", "e", "x")),
+    "casts_temporal": Query(("events",), '{ ?e c:event_id ?k ; c:ts ?t SET(?s := STR(?t)) SET(?a := STR(xsd:dateTime(?s))) SET(?d := STR(xsd:date(SUBSTR(?s, 1, 10)))) SET(?h := STR(xsd:time(SUBSTR(?s, 12)))) SET(?p := STR(xsd:duration(CONCAT("P", STR(DAY(?t)), "D")))) SET(?q := STR(xsd:dayTimeDuration(CONCAT("PT", STR(MINUTES(?t)), "M")))) FILTER(xsd:dateTime(?s) = ?t) }',
+        "SELECT event_id AS k, strftime(ts, '%Y-%m-%d') AS d, 'P' || day(ts) || 'D' AS p, 'PT' || minute(ts) || 'M' AS q FROM events", project=KEEP("k", "d", "p", "q")),
+    "double_forms": Query(("orders",), "{ ?o c:o_orderkey ?k ; c:o_totalprice ?p SET(?s := STR(?p * 1048576.0e0)) }", "SELECT o_orderkey AS k, (o_totalprice * 1048576)::VARCHAR AS s FROM orders", project=KEEP("k", "s")),
+    # One value by a column and by the exact evaluator (arithmetic over terms of several datatypes): both have one key.
+    "double_paths_join": Query(("orders",), "{ ?o :a ?x ; :b ?x ; c:o_orderkey ?k }", "SELECT o_orderkey AS k FROM orders",
+        "RULE { ?o :raw ?p } WHERE { ?o c:o_totalprice ?p } RULE { ?o :raw ?s } WHERE { ?o c:o_orderstatus ?s } RULE { ?o :a ?x } WHERE { ?o c:o_totalprice ?p SET(?x := ?p * 1000.0e0) } RULE { ?o :b ?x } WHERE { ?o :raw ?p SET(?x := ?p * 1000.0e0) }", KEEP("k")),
+    "mixed_filter": Query(("orders",), '{ ?o :raw ?v ; c:o_orderkey ?k FILTER(?v > 300000 || ?v = "P" || ?v < "1992-02-01T00:00:00"^^xsd:dateTime) }',
+        "SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1992-02-01'",
+        "RULE { ?o :raw ?p } WHERE { ?o c:o_totalprice ?p } RULE { ?o :raw ?s } WHERE { ?o c:o_orderstatus ?s } RULE { ?o :raw ?d } WHERE { ?o c:o_orderdate ?d }", KEEP("k")),
+    "mixed_functions": Query(("part",), '{ ?p :label ?v ; c:p_partkey ?k SET(?u := STR(UCASE(?v))) SET(?n := STRLEN(?v)) SET(?l := LANG(?v)) FILTER(CONTAINS(?v, "e")) }',
+        "SELECT p_partkey AS k, upper(p_name) AS u, length(p_name) AS n, 'en' AS l FROM part WHERE contains(p_name, 'e') UNION ALL SELECT p_partkey, upper(p_type), length(p_type), '' FROM part WHERE contains(p_type, 'e')",
+        'RULE { ?p :label ?v } WHERE { ?p c:p_name ?x SET(?v := STRLANG(?x, "en")) } RULE { ?p :label ?x } WHERE { ?p c:p_type ?x }', KEEP("k", "u", "n", "l")),
+    "column_function": Query(("nation",), "{ ?n c:n_nationkey ?k ; c:n_name ?x SET(?y := :shout(?x)) }", "SELECT n_nationkey::BIGINT AS k, upper(n_name) || '!' AS y FROM nation", project=KEEP("k", "y"), options=column_registry),
+    **{f"parse_{format}": document(format) for format in DOCUMENTS},
+    "ntriples_files": Query((), "{ ?n c:n_nationkey ?k ; c:n_name ?name FILTER(?k < 20) }", "SELECT n_nationkey::VARCHAR AS k, n_name AS name FROM nation WHERE n_nationkey < 20", project=KEEP("k", "name"), data=through_files),
+    "infer_all": Query(("nation", "region"), "", "SELECT 'urn:t:nation:' || n_nationkey AS s, 'urn:x:in' AS p, 'urn:t:region:' || n_regionkey AS o FROM nation UNION ALL SELECT 'urn:t:region:' || r_regionkey, 'urn:x:label', r_name FROM region UNION ALL SELECT 'urn:x:a', 'urn:x:b', '1'",
+        "DATA { :a :b 1 } RULE { ?n :in ?r . ?r :label ?x } WHERE { ?n fk:n_regionkey ?r . ?r c:r_name ?x }", how=inferred),
+    "bridge_request": Query(("region",), "{ ?x :named ?name }", "SELECT 'urn:t:region:' || r_regionkey AS x, r_name AS name FROM region", "RULE { ?x :named ?n } WHERE { ?x c:r_name ?n }", how=bridged),
 }
