@@ -1,6 +1,7 @@
 """infer, query, and the pieces they take."""
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,15 @@ from stratalog.plans.bodies import Solutions
 from stratalog.plans.fixpoint import Evaluator
 from stratalog.plans.model import PreparedRuleSet, RuleSet
 from stratalog.plans.rules import parse_goal, parse_rules
+from stratalog.sources.adapters import as_triples
 from stratalog.sources.graph import Graph, parse_data
 from stratalog.sources.imports import ImportResolver
 from stratalog.sources.relations import Source
 from stratalog.terms import Term, Variable, term
 
 Rules = str | RuleSet | PreparedRuleSet
-Data = None | str | Graph | DataFrame | Source
+#: Text, a graph, a table of keys, a source, or triples of another library's terms.
+Data = None | str | Graph | DataFrame | Source | Iterable
 
 
 def session(spark: SparkSession | None = None) -> SparkSession:
@@ -49,8 +52,10 @@ def as_source(spark: SparkSession, data: Data, format: str = "turtle", base_iri:
         data = parse_data(data, format, base_iri)
     if isinstance(data, Graph):
         out.add_triples(data)
-    elif data is not None:
+    elif isinstance(data, DataFrame):
         out.add_table(data)
+    elif data is not None:
+        out.add_triples(Graph(as_triples(data)))
     return out
 
 

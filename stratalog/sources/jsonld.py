@@ -19,6 +19,22 @@ class _Number(str):
 class _Context:
     def __init__(self, base: str | None):
         self.base, self.vocab, self.lang, self.direction, self.terms = base, None, None, None, {}
+        #: What nodes inside go back to, under a type's context.
+        self.previous: _Context | None = None
+
+    def for_types(self, types: list[str]) -> _Context:
+        """With the contexts of the node's types, in the order of their names; they hold for this node alone."""
+        out = self
+        for t in sorted(t for t in types if isinstance(t, str)):
+            if "@context" in self.terms.get(t, ()):
+                out = out.extended(self.terms[t]["@context"])
+        if out is not self:
+            out.previous = self
+        return out
+
+    def for_property(self, definition: dict) -> _Context:
+        """With a property's own context, which holds for all below it."""
+        return (self.previous or self).extended(definition["@context"]) if "@context" in definition else self
 
     def extended(self, c) -> _Context:
         out = _Context(self.base)
@@ -86,8 +102,11 @@ class _Reader:
         return IRI(x) if ABSOLUTE.match(x) else None
 
     def node(self, obj: dict, ctx: _Context, graph):
+        ctx = ctx.previous or ctx
         if "@context" in obj:
             ctx = ctx.extended(obj["@context"])
+        kinds = next((v for k, v in obj.items() if ctx.iri(k, True) == "@type"), [])
+        plain_ctx, ctx = ctx, ctx.for_types(kinds if isinstance(kinds, list) else [kinds])
         names = {k: ctx.iri(k, True) for k in obj}
         at = lambda w: next((obj[k] for k, n in names.items() if n == w), None)
         ident = at("@id")
@@ -98,7 +117,7 @@ class _Reader:
             for x in inner if isinstance(inner, list) else [inner]:
                 self.node(x, ctx, s)
         for t in (lambda v: v if isinstance(v, list) else [v])(at("@type") or []):
-            if (o := self.node_term(ctx.iri(t, True))) is not None:
+            if (o := self.node_term(plain_ctx.iri(t, True))) is not None:
                 self.out.append((s, IRI(RDF + "type"), o, graph))
         for back, values in (at("@reverse") or {}).items():
             p = self.node_term(ctx.iri(back, True))
@@ -112,7 +131,7 @@ class _Reader:
                 definition = ctx.terms.get(k, {})
                 if definition.get("@reverse"):
                     continue
-                for o in self.values(v, definition, ctx, graph):
+                for o in self.values(v, definition, ctx.for_property(definition), graph):
                     self.out.append((s, p, o, graph))
         return s
 

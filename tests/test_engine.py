@@ -166,3 +166,24 @@ def test_goals_narrow_recursion(spark):
             want = api.query("", whole, p + goal, spark=spark)
             key = lambda rows: sorted(str(sorted((v.value, str(t)) for v, t in r.items())) for r in rows)
             assert key(got.bindings) == key(want.bindings), goal
+
+
+def test_terms_of_other_libraries(spark):
+    class URIRef(str):
+        pass
+
+    class OtherLiteral(str):
+        language = datatype = None
+
+    OtherLiteral.__name__ = "Literal"
+    ten = OtherLiteral("10")
+    ten.datatype = URIRef("http://www.w3.org/2001/XMLSchema#integer")
+    hi = OtherLiteral("hi")
+    hi.language = "en"
+    a, p = URIRef("http://x/a"), URIRef("http://x/p")
+    rows = [(a, p, ten), (a, p, hi), (a, p, (a, p, ten))]
+    got = api.query("", rows, P + "{ :a :p ?v }", spark=spark).bindings
+    want = {Literal("10", datatype="http://www.w3.org/2001/XMLSchema#integer"), Literal("hi", "en"), TripleTerm(IRI("http://x/a"), IRI("http://x/p"), Literal("10", datatype="http://www.w3.org/2001/XMLSchema#integer"))}
+    assert {next(iter(r.values())) for r in got} == want
+    with pytest.raises(TypeError):
+        api.query("", [(a, p, 1.5)], P + "{ :a :p ?v }", spark=spark)

@@ -75,3 +75,15 @@ def test_large_ntriples(spark, tmp_path):
     df = read_ntriples(spark, str(f))
     write_ntriples(df, str(tmp_path / "out"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(lines)
+
+
+def test_jsonld_scoped_contexts():
+    doc = """{"@context": {"@vocab": "http://v/", "Person": {"@id": "http://t/Person", "@context": {"name": "http://p/name", "boss": {"@id": "http://p/boss", "@type": "@id"}}},
+      "meta": {"@id": "http://p/meta", "@context": {"name": "http://m/name"}}},
+      "@id": "http://x/a", "@type": "Person", "name": "A", "boss": "http://x/b", "friend": {"@id": "http://x/c", "name": "C"},
+      "meta": {"@id": "http://x/m", "name": "M", "deep": {"@id": "http://x/d", "name": "D", "@context": {"name": "http://n/name"}}}}"""
+    found = {(s.value[9:], p.value, getattr(o, "value", None)) for s, p, o in parse_data(doc, "jsonld")}
+    assert found == {
+        ("a", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://t/Person"), ("a", "http://p/name", "A"), ("a", "http://p/boss", "http://x/b"), ("a", "http://v/friend", "http://x/c"),
+        ("c", "http://v/name", "C"), ("a", "http://p/meta", "http://x/m"), ("m", "http://m/name", "M"), ("m", "http://v/deep", "http://x/d"), ("d", "http://n/name", "D"),
+    }
