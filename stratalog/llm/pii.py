@@ -89,17 +89,11 @@ def draw(key: str, kind: Column, canon: Column, attempt: Column, gender: Column)
     email = F.concat(F.substr(like(F.lit(0)), F.lit(1), at - 1), F.when(attempt >= 2, more).otherwise(""), F.lit("@"), F.substr(like(F.lit(0)), at + 1, F.length(label)), F.substr(host, F.length(label) + 1))
     octet = lambda i: (byte(F.lit(i)) % 254 + 1).cast("string")
     # Networks: 10/8, 172.16/12, 192.168/16, 127/8, 169.254/16, others. Crowded small ones give way to 10/8, that one to the whole.
-    whole = F.concat_ws(".", (byte(F.lit(0)) % 180 + 11).cast("string"), octet(1), octet(2), octet(3))
-    private = F.when(attempt < CROWDED, F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3))).otherwise(whole)
-    small = lambda *x: F.when(attempt < 4, F.concat_ws(".", *x)).otherwise(private)
-    ip = (
-        F.when(canon.startswith("10."), private)
-        .when(canon.rlike(r"^172\.(?:1[6-9]|2[0-9]|3[01])\."), small(F.lit("172"), (byte(F.lit(1)) % 16 + 16).cast("string"), octet(2), octet(3)))
-        .when(canon.startswith("192.168."), small(F.lit("192.168"), octet(2), octet(3)))
-        .when(canon.startswith("169.254."), small(F.lit("169.254"), octet(2), octet(3)))
-        .when(canon.startswith("127."), F.concat_ws(".", F.lit("127"), octet(1), octet(2), octet(3)))
-        .otherwise(whole)
-    )
+    net = F.when(canon.startswith("10."), "10").when(canon.rlike(r"^172\.(?:1[6-9]|2[0-9]|3[01])\."), "172").when(canon.startswith("192.168."), "192").when(canon.startswith("169.254."), "169").when(canon.startswith("127."), "127").otherwise("")
+    net = F.when(net.isin("172", "192", "169") & (attempt >= 4), "10").otherwise(net)
+    net = F.when((net == "10") & (attempt >= CROWDED), "").otherwise(net)
+    second = F.when(net == "172", (byte(F.lit(1)) % 16 + 16).cast("string")).when(net == "192", "168").when(net == "169", "254").otherwise(octet(1))
+    ip = F.concat_ws(".", F.when(net == "", (byte(F.lit(0)) % 180 + 11).cast("string")).otherwise(net), second, octet(2), octet(3))
     # Phones keep the digits before the last ten.
     phone = like(F.greatest(F.length(canon) - 10, F.lit(0)))
     plain = like(F.lit(1))
