@@ -396,6 +396,47 @@ def test_line_dedup(spark, docs, odd):
     assert line_dedup.dedup_lines(none_of(docs)).count() == 0
 
 
+def test_line_dedup_by_characters(spark):
+    """Short lines within one character, against every earlier line."""
+    from stratalog.llm import line_dedup
+
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcghijk deé") for _ in range(rng.randint(3, 40))) for _ in range(40)]
+    lines = base[:]
+    for l in base:
+        for _ in range(4):
+            c = list(l)
+            i = rng.randrange(len(c))
+            c[i : i + 1] = rng.choice([[], ["x"], [c[i], "ß"], [c[i]]])
+            lines.append("".join(c))
+    made = frame(spark, ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 8))) for _ in range(80)])
+    rows = [(r.doc_id, r.text) for r in made.collect()]
+
+    def close(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        i = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
+
+    seen = {}
+    for d, t in rows:
+        for p, l in enumerate(t.split("\n")):
+            if WORD.search(l):
+                seen.setdefault(" ".join(WORD.findall(l)), (d, p))
+    order = [n for n in sorted(seen, key=seen.get) if 20 <= len(n) <= 400 and n.count(" ") < 9]
+    assert all(n.count(" ") < 9 for n in seen)
+    near = {n for i, n in enumerate(order) if any(close(n, m) for m in order[:i])}
+    norm = lambda l: " ".join(WORD.findall(l))
+    want = {d: "\n".join(l for p, l in enumerate(t.split("\n")) if not norm(l) or (norm(l) not in near and seen[norm(l)] == (d, p))) for d, t in rows}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(made, min_words=line_dedup.ALL_WORDS, near_chars=line_dedup.NEAR_CHARS).collect()}
+    assert near and got == want
+    line_dedup.MOST_GROUPS, keep = 0, line_dedup.MOST_GROUPS
+    try:
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(made, min_words=1, near_chars=20).collect()} == want
+    finally:
+        line_dedup.MOST_GROUPS = keep
+
+
 def test_line_dedup_of_short_lines(spark, tmp_path):
     from stratalog.llm import line_dedup
 
