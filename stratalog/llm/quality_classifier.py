@@ -130,7 +130,8 @@ def strength(spread: float | None, noise: float | None, scale: float) -> float:
 
 def posteriors(scored: DataFrame) -> DataFrame:
     """__host, __path, host_mean, path_mean, all_mean: one row per path. Both priors are fitted to the data."""
-    paths = scored.groupBy("__host", "__path").agg(F.sum("__p").alias("ps"), F.count(F.lit(1)).alias("pn"))
+    # Written once, one row per path: the sums below don't measure the texts again.
+    paths = materialize(scored.groupBy("__host", "__path").agg(F.sum("__p").alias("ps"), F.count(F.lit(1)).alias("pn")), "paths")
     hosts = paths.groupBy("__host").agg(F.sum("ps").alias("hs"), F.sum("pn").alias("hn"), F.count(F.lit(1)).alias("sites"))
     whole = hosts.agg((F.sum("hs") / F.sum("hn")).alias("mean"), F.var_pop(F.col("hs") / F.col("hn")).alias("v"), F.avg(1 / F.col("hn")).alias("inv")).collect()[0]
     mean = whole["mean"] if whole["mean"] is not None else 0.5
