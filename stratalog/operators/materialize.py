@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark deletes an execution's shuffle files when it ends, instead of when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
@@ -24,7 +28,12 @@ def stored(df: DataFrame) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratalog-facts-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # nothing reads this plan's shuffles once the table is written
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 

@@ -13,13 +13,16 @@ from stratalog.functions.exact import Context
 from stratalog.functions.mixed import packed, unpacked
 from stratalog.operators.materialize import materialize
 from stratalog.operators.slots import Slot, equals_constant, key_of
-from stratalog.plans.model import Assign, Filter, Negation, Pattern, as_pattern_term, expression_variables
+from stratalog.plans.model import Assign, Expression, Filter, Negation, Pattern, as_pattern_term, expression_variables
 from stratalog.sources.relations import Relation, Source
 from stratalog.terms import IRI, Term, TripleTerm, Variable, variables
 
 Facts = Callable[[IRI | None], list[Relation]]
 
 
+ORDERED = ("integer", "double", "string", "boolean", "dateTime")
+
+
 def parted(sols: Solutions, compiler: Compiler) -> Solutions:
     """sols, written first if a Python call would meet nested lambdas in its arguments: Spark can't lift it out of those."""
     if compiler.python and "transform(" in sols.df._jdf.queryExecution().analyzed().toString():
@@ -294,6 +297,9 @@ class BodyPlanner:
                 inner = Solutions(inner.df.where(c), inner.env)
         if not mixed:
             return self.joined(sols, inner, "left_anti")
+        bounded = self.bounded(sols, inner, [f.expression for _, f in mixed])
+        if bounded is not None:
+            return bounded
         env = {**inner.env, **sols.env}
         natives = [Compiler(env, self.context).native(f.expression) for _, f in mixed]
         cols = [as_ebv(x) if x is not None and x[1] is not None else None for x in natives]
@@ -315,5 +321,32 @@ class BodyPlanner:
         drop = hit.df.select(mark).distinct()
         return Solutions(outer.df.join(drop, mark, "left_anti").drop(mark), sols.env)
 
+    def bounded(self, sols: Solutions, inner: Solutions, conditions: list) -> Solutions | None:
+        """NOT with one comparison of an inner with an outer value: the largest or smallest inner value of a key decides.
+
+        A key then costs its rows, not the pairs of them. None where the condition is of another form.
+        """
+        shared = [v for v in sols.env if v in inner.env]
+        if len(conditions) != 1 or not shared or not isinstance(conditions[0], Expression) or conditions[0].operator not in ("<", ">", "<=", ">="):
+            return None
+        if any(sols.env[v].kind != inner.env[v].kind for v in shared):
+            return None
+        op, sides = conditions[0].operator, conditions[0].arguments
+        within = [k for k, a in enumerate(sides) if expression_variables(a) and expression_variables(a) <= set(inner.env) - set(shared)]
+        if len(within) != 1 or not expression_variables(sides[1 - within[0]]) <= set(sols.env):
+            return None
+        at = within[0]
+        mine, theirs = Compiler(inner.env, self.context).native(sides[at]), Compiler(sols.env, self.context).native(sides[1 - at])
+        if mine is None or theirs is None or mine[0] not in ORDERED or theirs[0] not in ORDERED:
+            return None
+        value = F.when(~F.isnan(mine[1]), mine[1]) if mine[0] == "double" else mine[1]
+        extreme = F.max if (op[0] == ">") == (at == 0) else F.min
+        name = fresh("m")
+        keys = [inner.env[v].name for v in shared]
+        per_key = inner.df.select(*[F.col(k) for k in keys], value.alias(name)).where(F.col(name).isNotNull()).groupBy(*keys).agg(extreme(name).alias(name))
+        bound = (mine[0], F.col(name))
+        hit = Compiler(sols.env, self.context).order(op, *((bound, theirs) if at == 0 else (theirs, bound)))[1]
+        return self.joined(sols, Solutions(per_key, {v: inner.env[v] for v in shared}), "left_anti", F.coalesce(hit, F.lit(False)))
+
 
 __all__ = ["BodyPlanner", "Solutions", "View", "packed"]

@@ -187,3 +187,26 @@ def test_terms_of_other_libraries(spark):
     assert {next(iter(r.values())) for r in got} == want
     with pytest.raises(TypeError):
         api.query("", [(a, p, 1.5)], P + "{ :a :p ?v }", spark=spark)
+
+
+def test_negation_by_extremes(spark):
+    """NOT with one comparison, over native columns with NULLs, NaN and ties, against all pairs."""
+    from stratalog.sources.relations import Mapping, Source
+
+    rng = random.Random(3)
+    nan = float("nan")
+    rows = [(i, rng.randint(0, 4), rng.choice([1.0, 2.0, 2.0, 3.5, nan, None]), rng.choice([1, 2, 3, None]), rng.choice(["a", "b", "c"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, g bigint, d double, i bigint, s string")
+    less = {"<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}
+    for col, other in (("d", "d"), ("i", "i"), ("s", "s"), ("i", "d"), ("d", "i")):
+        for op, holds in less.items():
+            for text, swap in ((f"?y {op} ?x", False), (f"?x {op} ?y", True)):
+                source = Source(spark)
+                source.add_mapping(Mapping("t", df, "id"))
+                goal = f"PREFIX c: <urn:c:> {{ ?a c:g ?g ; c:{col} ?x ; c:id ?k NOT {{ ?b c:g ?g ; c:{other} ?y FILTER({text}) }} }}"
+                result = S.query("", source, goal, spark=spark)
+                assert "max(" in result.frame._jdf.queryExecution().toString() or "min(" in result.frame._jdf.queryExecution().toString()
+                got = sorted(r.k for r in result.frame.select("k").collect())
+                at = {"d": 2, "i": 3, "s": 4}
+                want = sorted(a[0] for a in rows if a[at[col]] is not None and not any(b[1] == a[1] and b[at[other]] is not None and (holds(a[at[col]], b[at[other]]) if swap else holds(b[at[other]], a[at[col]])) for b in rows))
+                assert got == want, (col, other, text)
