@@ -45,9 +45,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; of rows with equal ids one. Texts without words stay."""
-    keep = ngram_join.link(docs).where("id = component").select(F.col("id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group stays; of rows with equal ids one. Texts without words stay, and rows without an id."""
+    named = docs.where(F.col("doc_id").isNotNull())
+    keep = ngram_join.link(named).where("id = component").select(F.col("id").alias("__keep")).distinct()
+    return named.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
