@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 WS = r"\x20\x09-\x0D"
 
 
+#: Spark deletes an execution's shuffle files when it ends, instead of when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set and all run on one machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,16 +38,23 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratalog-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # nothing reads this plan's shuffles once the table is written
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._stratalog_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    path = getattr(df, "_stratalog_path", None)
-    if path:
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_stratalog_path", None)
+        if not path:
+            continue
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import beside, documents, materialize
+from stratalog.llm.common import beside, discard, documents, materialize
 
 KEY = "surrogates-1"
 # Titles by gender.
@@ -130,8 +130,8 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         won = drawn.join(free, ["kind", "surrogate"]).where("canon = winner").select("kind", "canon", "surrogate")
         won = materialize(won, "won")
         done = won if done is None else done.unionByName(won)
-        open_ = drawn.select("kind", "canon", "gender").join(won.select("kind", "canon"), ["kind", "canon"], "left_anti")
-        open_ = materialize(open_, "open")
+        last, open_ = open_, materialize(drawn.select("kind", "canon", "gender").join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), "open")
+        discard(drawn, *([last] if r else []))
         if open_.isEmpty():
             return done
     raise RuntimeError("surrogates still collide: the corpus holds nearly all values that a kind's form allows")
@@ -152,7 +152,9 @@ WORD_EDGE = r"(?<=\p{L})(?!\p{L})|(?<!\p{L})(?=\p{L})"
 
 def replace_pii(docs: DataFrame, key: str = KEY, id_col: str = "doc_id") -> DataFrame:
     """docs with text rewritten and n_entities (mentions replaced) added."""
-    found = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention"))
+    # Rows without an id go by their text.
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    found = docs.select(ident.alias("id"), F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention"))
     each = materialize(found.distinct().select("id", "mention", F.posexplode(parts(F.col("mention"))).alias("place", "p")).select("id", "mention", "place", "p.*"), "mentions")
     entities = each.where("kind is not null").groupBy("kind", "canon").agg(F.sum("gender").alias("gender"))
     table = surrogates(materialize(entities, "entities"), key)
@@ -163,7 +165,7 @@ def replace_pii(docs: DataFrame, key: str = KEY, id_col: str = "doc_id") -> Data
     # A token that is both a given name and a surname here takes the smaller surrogate.
     names = F.aggregate(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), F.array().cast("array<struct<token:string,new:string>>"), lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["token"] == x["token"]), a).otherwise(F.concat(a, F.array(x))))
     maps = whole.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("mention", "new"))).alias("__pii_map"), F.map_from_entries(names).alias("__pii_names"))
-    joined = docs.join(maps.withColumnRenamed("id", "__pii_id"), F.col(id_col) == F.col("__pii_id"), "left")
+    joined = docs.join(maps.withColumnRenamed("id", "__pii_id"), ident == F.col("__pii_id"), "left")
     on = F.col("__pii_map").isNotNull()
     staged = joined.select("*", F.when(on, mentions(F.col("text"))).alias("__pii_found"), F.when(on, F.split("text", ANY, -1)).alias("__pii_gaps"))
     words = F.transform("__pii_gaps", lambda g: F.split(g, WORD_EDGE))

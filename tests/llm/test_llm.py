@@ -684,3 +684,29 @@ def test_pipeline(spark, docs, odd):
     for _, stage in cp.STAGES:
         stage(spark, odd.select(*docs.columns), SF).count()
         stage(spark, none_of(docs), SF).count()
+
+
+def test_nulls_in_any_column(spark, labels):
+    """Rows without an id, a source or a language are worked on like others; nothing is lost."""
+    import corpus_pipeline as cp
+    from stratalog.llm import line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secrets, toxicity
+
+    text = "Mr. John Smith wrote to a@b.com about the plan\nand token = abcdef1234 was there\nas one two three four five six"
+    rows = [(None, text, None, None, None), (None, text, "en", "s", 3), (1, text, None, "s", None), (2, None, None, None, None), (3, "other words " * 30, "en", None, 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    few = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (2, None, None)], "doc_id bigint, quality int, toxic int")
+    assert secrets.find_secrets(df, secrets.Crf()).count() == 6
+    assert toxicity.score_toxicity(df, toxicity.learn(df, few)).count() == 6
+    out = [r.text for r in pii.replace_pii(df).collect()]
+    assert len(out) == 6 and not any("Smith" in t or "a@b.com" in t for t in out if t)
+    assert packing.pack_documents(df).count() == 6
+    assert line_dedup.dedup_lines(df).count() == 6
+    got = sorted(((r.id or 0, r.n, r.component or 0) for r in ngram_join.link(df).collect()))
+    words = len(set(zip(*[text.lower().split()[k:] for k in range(5)])))
+    assert got == sorted([(0, words, 1), (0, words, 1), (1, words, 1), (2, 0, 2), (3, 2, 3), (0, 0, 0)])
+    assert quality_classifier.judged(df, few).count() == 6 and mixing.mix(df).columns == df.columns
+    assert quality_rules.judge(df, quality_rules.learn(df, few)).count() == 6
+    kept = cp.near_duplicates(spark, df, SF).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 0, 1, 2, 3]
+    for _, stage in cp.STAGES:
+        stage(spark, df, SF).count()
