@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import WS, beside, discard, documents, materialize
+from stratalog.llm.common import beside, discard, documents, materialize
 
 MIN_WORDS = 4
 NEAR_WORDS = 10
@@ -36,18 +36,17 @@ MOST_CHARS = 400
 MOST_GROUPS = 200_000
 
 
-def lines(docs: DataFrame, key: str) -> DataFrame:
-    """id, pos, line of each line of each text."""
-    return docs.select(F.col(key).alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-
-
-def normal(line: Column) -> Column:
-    """The line's words, parted by single blanks."""
-    return F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), f"[{WS}]+", " "))
+def plain(docs: DataFrame, key: str) -> DataFrame:
+    """id, t: each text with single blanks for white space but line ends; its lines, trimmed, are the words parted by blanks."""
+    blank = F.col("text")
+    for c in "\t\v\f\r":
+        blank = F.replace(blank, F.lit(c), F.lit(" "))
+    t = docs.select(F.col(key).alias("id"), blank.alias("t"))
+    return t.select("id", F.when(F.contains("t", F.lit("  ")), F.regexp_replace("t", " {2,}", " ")).otherwise(F.col("t")).alias("t"))
 
 
 def n_words(norm: Column) -> Column:
-    return F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.translate(norm, " ", "")) + 1)
+    return F.when(norm == "", 0).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
 
 
 def by_chars(n: Column, near_words: int, near_chars: int | None) -> Column:
@@ -57,27 +56,33 @@ def by_chars(n: Column, near_words: int, near_chars: int | None) -> Column:
 
 def keyed(docs: DataFrame, key: str, min_words: int, near_words: int, near_chars: int | None) -> DataFrame:
     """id, pos, h1, h2 (two hashes of the words) and halves (where near matches count) of each line that counts."""
-    t = lines(docs, key).select("id", "pos", normal(F.col("line")).alias("norm")).withColumn("n", n_words(F.col("norm"))).where(F.col("n") >= min_words)
+    # To explode a column of arrays would make Spark filter by it and so split twice.
+    t = plain(docs, key).select("id", F.posexplode(F.split("t", "\n")).alias("pos", "line")).select("id", "pos", F.trim("line").alias("norm"))
+    # The filter moves below the trimming: as a comparison it costs less there than a count.
+    t = (t.where("norm != ''") if min_words == 1 else t).withColumn("n", n_words(F.col("norm")))
+    t = t if min_words == 1 else t.where(F.col("n") >= min_words)
     near = F.when(F.col("n") >= near_words, halves_of_words())
     if near_chars is not None:
         near = F.when(by_chars(F.col("n"), near_words, near_chars) & F.length("norm").between(near_chars, MOST_CHARS), halves_of_chars()).otherwise(near)
     return t.select("id", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), F.col("norm")).alias("h2"), near.alias("halves"))
 
 
-def halves(n: Column, tag: str, cut) -> Column:
-    """Keys of the first and last half, for the line's own length and one less. cut(from, count): units, from 1 on."""
+def halves(n: Column, tag: str, first, last) -> Column:
+    """Keys of the first and last half, for the line's own length and one less. first(count), last(count): units of the line."""
     def of(s: Column) -> list[Column]:
         k = F.floor(s / 2).cast("int")
-        return [F.xxhash64(F.lit("first" + tag), s, cut(F.lit(1), k)), F.xxhash64(F.lit("last" + tag), s, cut(n - (s - k) + 1, s - k))]
+        return [F.xxhash64(F.lit("first" + tag), s, first(k)), F.xxhash64(F.lit("last" + tag), s, last(s - k))]
     return F.array(*of(n), *of(n - 1))
 
 
 def halves_of_words() -> Column:
-    return halves(F.col("n"), "", lambda i, k: F.slice(F.split("norm", " "), i, k))
+    ends = lambda k: F.call_function("substring_index", F.col("norm"), F.lit(" "), k)
+    return halves(F.col("n"), "", ends, lambda k: ends(-k))
 
 
 def halves_of_chars() -> Column:
-    return halves(F.length("norm"), " chars", lambda i, k: F.substr("norm", i, k))
+    n = F.length("norm")
+    return halves(n, " chars", lambda k: F.substr("norm", F.lit(1), k), lambda k: F.substr("norm", n - k + 1, k))
 
 
 def prefix_sums(hashes: Column) -> Column:
@@ -125,8 +130,8 @@ def near_matches(docs: DataFrame, halves_of: DataFrame, key: str, near_words: in
     places = halves_of.join(shared, "half").select("h1", "h2", "id", "pos").distinct()
     # The suspects' words come from their documents: one row per document, not per line.
     wanted = places.groupBy("id").agg(F.collect_list(F.struct("pos", "h1", "h2")).alias("at"))
-    texts = docs.select(F.col(key).alias("id"), F.split("text", "\n").alias("ls")).join(wanted, "id").select("id", "ls", F.explode("at").alias("p"))
-    w = texts.select("id", F.col("p.pos").alias("pos"), F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"), normal(F.get("ls", F.col("p.pos"))).alias("norm"))
+    texts = plain(docs, key).select("id", F.split("t", "\n").alias("ls")).join(wanted, "id").select("id", "ls", F.explode("at").alias("p"))
+    w = texts.select("id", F.col("p.pos").alias("pos"), F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"), F.trim(F.coalesce(F.get("ls", F.col("p.pos")), F.lit(""))).alias("norm"))
     full = w.select("id", "pos", "h1", "h2", by_chars(n_words(F.col("norm")), near_words, near_chars).alias("chars"), "norm")
     # Rows of one id and different texts: a line is only looked for where it is.
     suspects = materialize(full.where(F.xxhash64("norm") == F.col("h1")).dropDuplicates(["h1", "h2"]), "lines")

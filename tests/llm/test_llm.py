@@ -446,6 +446,19 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert got == {0: texts[0], 1: "about us\nPage 2", 2: texts[2].split("\n")[0], 3: None, 4: ""}
 
 
+def test_line_dedup_of_white_space(spark, tmp_path):
+    """Any ASCII white space parts words; tabs, line feeds of other systems and runs of blanks make no other line."""
+    from stratalog.llm import line_dedup
+
+    texts = ["a b c\nUntil further notice\n\t\n", " a\tb \r\x0b c \r\na b\u00a0c\r\nUntil  further\x0cnotices\n \r", "\r\n", "a  b  c"]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: texts[0], 1: "a b\u00a0c\r\n \r", 2: texts[2], 3: ""}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plan = line_dedup.keyed(docs, "doc_id", 1, 10, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == plan.count("split(") == 1  # Spark may repeat an expression in the filters that it moves
+
+
 # 7: n-gram join
 
 
