@@ -4,7 +4,7 @@ Lines of `min_words` words or more are compared. Equal lines form one different
 smallest (document, line number). Different lines of `near_words` words or more also match within one
 word inserted, deleted or replaced. For that each line emits its variants: without word i, and with
 nothing taken out at gap i, keyed by (i, hash of the words before, hash of the words after), where
-the hashes are sums over (word, place from the near end). Two lines within the bound share a key. Within
+the hashes are XORs over (word, place from the near end). Two lines within the bound share a key. Within
 a key every line is compared with the earliest one alone, so no pairs are spelled out, and a line goes if
 an earlier one matches: exact for this rule, as all lines of a key lie within the bound of each other.
 A match is verified on the words before it counts. With `near_chars`, shorter lines of that many
@@ -21,6 +21,8 @@ replace those of the same name; rows without an id come first in the order and k
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,11 @@ MIN_WORDS = 4
 NEAR_WORDS = 10
 #: The query compares equal lines from one word on, and lines under NEAR_WORDS within one character from this length on.
 ALL_WORDS, NEAR_CHARS = 1, 20
-#: Characters of a line under NEAR_WORDS up to which it emits variants; sums over a line grow with its square.
+#: Characters of a line under NEAR_WORDS up to which its variants are hashed as they are, which takes the square of its length;
+#: from this length on running XORs over its characters do the same in linear time.
 MOST_CHARS = 400
+#: Words or characters up to which a running XOR is made at one go; longer ones are put together from parts of that many.
+CHUNK = 256
 #: Keys of several lines up to which their table is broadcast (about 10 MB); beyond it the planner deals the join.
 MOST_GROUPS = 200_000
 
@@ -63,7 +68,7 @@ def keyed(docs: DataFrame, key: str, min_words: int, near_words: int, near_chars
     t = t if min_words == 1 else t.where(F.col("n") >= min_words)
     near = F.when(F.col("n") >= near_words, halves_of_words())
     if near_chars is not None:
-        near = F.when(by_chars(F.col("n"), near_words, near_chars) & F.length("norm").between(near_chars, MOST_CHARS), halves_of_chars()).otherwise(near)
+        near = F.when(by_chars(F.col("n"), near_words, near_chars) & (F.length("norm") >= near_chars), halves_of_chars()).otherwise(near)
     return t.select("id", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), F.col("norm")).alias("h2"), near.alias("halves"))
 
 
@@ -85,25 +90,48 @@ def halves_of_chars() -> Column:
     return halves(n, " chars", lambda k: F.substr("norm", F.lit(1), k), lambda k: F.substr("norm", n - k + 1, k))
 
 
-def prefix_sums(hashes: Column) -> Column:
-    """[0, h1, h1 + h2, ...]"""
-    return F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+def running(hashes: Column) -> Column:
+    """[0, h1, h1 ^ h2, ...]; each step copies what is there, so the time grows with the square."""
+    return F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1).bitwiseXOR(x))))
 
 
-def variants(suspects: DataFrame) -> DataFrame:
-    """h1, h2, id, pos, key: the deletion neighbourhood of each line."""
-    return of_words(suspects.where("not chars")).unionByName(of_chars(suspects.where("chars")))
+def running_of_many(t: DataFrame, *names: str) -> DataFrame:
+    """t with running() of the array columns of these names, from parts of CHUNK."""
+    # Each step is a column of its own that the next reads more than once, so that Spark doesn't work it out again per element.
+    def parts(h: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / CHUNK).cast("int")), lambda k: running(F.slice(h, k * CHUNK + 1, CHUNK)))
+
+    def whole(h: str) -> Column:
+        heads = F.slice(running(F.transform(h, lambda p: F.element_at(p, -1))), F.lit(1), F.size(h))
+        return F.flatten(F.zip_with(heads, h, lambda x, p: F.transform(F.slice(p, 2, CHUNK), lambda y: y.bitwiseXOR(x))))
 
+    t = t.withColumns({h: parts(h) for h in names})
+    return t.withColumns({h: F.concat(F.array(F.lit(0).cast("long")), whole(h)) for h in names})
 
-def of_words(suspects: DataFrame) -> DataFrame:
-    # 40 bits each, so that sums over a line stay exact.
-    split = suspects.select("h1", "h2", "id", "pos", F.split("norm", " ").alias("w"))
-    before = F.transform("w", lambda x, i: F.shiftrightunsigned(F.xxhash64(F.lit("b"), i, x), 24))
-    after = F.transform("w", lambda x, i: F.shiftrightunsigned(F.xxhash64(F.lit("a"), F.size("w") - i, x), 24))
-    sums = split.select("h1", "h2", "id", "pos", F.size("w").alias("n"), prefix_sums(before).alias("b"), prefix_sums(after).alias("a"))
+
+def variants(suspects: DataFrame) -> DataFrame:
+    """h1, h2, id, pos, key: the deletion neighbourhood of each line."""
+    size, n = F.length("norm"), n_words(F.col("norm"))
+    words, chars = suspects.where("not chars"), suspects.where("chars")
+    # A line of MOST_CHARS has both kinds of keys: those that shorter ones have, and those of longer ones.
+    found = [of_units(words.where(n <= CHUNK), " ", False), of_units(words.where(n > CHUNK), " ", True)]
+    found += [of_chars(chars.where(size <= MOST_CHARS)), of_units(chars.where(size >= MOST_CHARS), "", True)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def of_units(suspects: DataFrame, mark: str, many: bool) -> DataFrame:
+    """Keys by running XORs over the units that mark parts: words, or characters if it is empty."""
+    split = suspects.select("h1", "h2", "id", "pos", F.split("norm", mark).alias("w"))
+    kind = "" if mark else " chars"
+    before = F.transform("w", lambda x, i: F.xxhash64(F.lit("b" + kind), i, x))
+    after = F.transform("w", lambda x, i: F.xxhash64(F.lit("a" + kind), F.size("w") - i, x))
+    if many:
+        sums = running_of_many(split.select("h1", "h2", "id", "pos", F.size("w").alias("n"), before.alias("b"), after.alias("a")), "b", "a")
+    else:
+        sums = split.select("h1", "h2", "id", "pos", F.size("w").alias("n"), running(before).alias("b"), running(after).alias("a"))
     cut = sums.select("h1", "h2", "id", "pos", F.element_at("a", -1).alias("total"), F.posexplode(F.arrays_zip("b", "a", F.slice("a", F.lit(2), F.col("n") + 1).alias("past"))).alias("i", "z"))
-    gap = F.xxhash64("i", F.col("z.b"), F.col("total") - F.col("z.a"))
-    without = F.xxhash64("i", F.col("z.b"), F.col("total") - F.col("z.past"))
+    gap = F.xxhash64("i", F.col("z.b"), F.col("total").bitwiseXOR(F.col("z.a")))
+    without = F.xxhash64("i", F.col("z.b"), F.col("total").bitwiseXOR(F.col("z.past")))
     return cut.select("h1", "h2", "id", "pos", F.explode(F.array_compact(F.array(gap, F.when(F.col("z.past").isNotNull(), without)))).alias("key"))
 
 
@@ -142,7 +170,8 @@ def near_matches(docs: DataFrame, halves_of: DataFrame, key: str, near_words: in
     mine = suspects.select("h1", "h2", "chars", F.col("norm").alias("x"))
     theirs = suspects.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("norm").alias("y"), F.col("chars").alias("c"))
     both = links.join(mine, ["h1", "h2"]).join(theirs, ["g1", "g2"]).where(F.col("chars") == F.col("c"))
-    near = F.when(F.col("chars"), F.levenshtein("x", "y", 1) >= 0).otherwise(within_one(F.split("x", " "), F.split("y", " ")))
+    few, many = F.levenshtein("x", "y", 1) >= 0, within_one(F.split("x", ""), F.split("y", ""))
+    near = F.when(F.col("chars"), F.when(F.length("x") <= MOST_CHARS, few).otherwise(many)).otherwise(within_one(F.split("x", " "), F.split("y", " ")))
     found = materialize(both.where(near).select("h1", "h2").distinct(), "near")
     discard(shared, suspects, groups)
     return found

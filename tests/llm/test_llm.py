@@ -446,6 +446,51 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert got == {0: texts[0], 1: "about us\nPage 2", 2: texts[2].split("\n")[0], 3: None, 4: ""}
 
 
+def long_lines(rng):
+    """Lines of few words, mostly of more than 400 characters, and their edits of a character; lines of many words and their edits of a word."""
+    draw = lambda n: "".join(rng.choice("abcghijkdeé文😀") for _ in range(n))
+    base = [draw(n) for n in (398, 399, 400, 401, 402, 700, 1024, 3000)] + [draw(600) + " and " + draw(900), "=" * 450, "文" * 513]
+    out = []
+    for l in base:
+        out.append(l)
+        for i in (0, len(l) // 2, len(l) - 1, rng.randrange(len(l)), rng.randrange(len(l))):
+            out += [l[:i] + l[i + 1 :], l[:i] + "x" + l[i:], l[:i] + "ß" + l[i + 1 :], l[:i] + "yz" + l[i + 1 :]]
+    wordy = []
+    for n in (255, 256, 257, 512, 700):
+        w = [rng.choice("abcde") + str(rng.randrange(9)) for _ in range(n)]
+        wordy.append(" ".join(w))
+        for i in (0, n // 2, n - 1):
+            wordy += [" ".join(w[:i] + e + w[i + 1 :]) for e in ([], ["new"], [w[i], "ins"], ["two", "more"])]
+    return out, wordy
+
+
+def brute_long(rows):
+    """The texts that are left, every line held against every earlier one."""
+    close = lambda a, b: abs(len(a) - len(b)) < 2 and next((a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :] for i in range(min(len(a), len(b))) if a[i] != b[i]), True)
+    units = lambda l: l if l.count(" ") < 9 else tuple(l.split(" "))
+    seen, gone = {}, set()
+    for d, t in sorted(rows):
+        for p, l in enumerate(t.split("\n")):
+            if seen.setdefault(l, (d, p)) != (d, p) or any(type(units(l)) is type(units(m)) and close(units(l), units(m)) for m in seen if m != l and seen[m] < seen[l]):
+                gone.add((d, p))
+    return {d: "\n".join(l for p, l in enumerate(t.split("\n")) if (d, p) not in gone) for d, t in rows}, len(gone)
+
+
+def test_line_dedup_of_long_lines(spark, tmp_path):
+    """Nothing is held to equality for its length: a line of few words and any number of characters goes for one character."""
+    from stratalog.llm import line_dedup
+
+    rng = random.Random(21)
+    chars, wordy = long_lines(rng)
+    for k, lines in enumerate((chars, wordy)):
+        lines = rng.sample(lines, len(lines))
+        texts = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)]
+        want, n = brute_long(list(enumerate(texts)))
+        frame(spark, texts).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        got = {r.doc_id: r.text for r in line_dedup.op6_line_dedup(spark, f"{tmp_path}/{k}").collect()}
+        assert n > len(lines) // 3 and got == want
+
+
 def test_line_dedup_of_white_space(spark, tmp_path):
     """Any ASCII white space parts words; tabs, line feeds of other systems and runs of blanks make no other line."""
     from stratalog.llm import line_dedup
