@@ -744,6 +744,16 @@ def test_pipeline(spark, docs, odd):
         stage(spark, none_of(docs), SF).count()
 
 
+def test_pipeline_of_long_lines(spark):
+    """Lines of few words and more than 400 characters lose a near copy in the stage too."""
+    import corpus_pipeline as cp
+
+    long = "文" * 401 + "x" * 3000
+    texts = [f"{long}\nfirst", f"{long[:700]}ß{long[700:]}\nsecond", f"{long[:-1]}", long[1:] + "yz"]
+    got = {r.doc_id: r.text for r in cp.lines(spark, frame(spark, texts), SF).collect()}
+    assert got == {0: texts[0], 1: "second", 3: texts[3]}
+
+
 def test_nulls_in_any_column(spark, labels):
     """Rows without an id, a source or a language are worked on like others; nothing is lost."""
     import corpus_pipeline as cp
