@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import documents, materialize
+from stratalog.llm.common import documents, materialize, tidy
 
 LENGTH = 1024
 END = 2
@@ -217,7 +217,7 @@ def tokenize(docs: DataFrame, length: int = LENGTH, rank_file: str | None = None
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def place(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:

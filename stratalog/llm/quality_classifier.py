@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import beside, byte_slices, documents, hash_sample, labels, materialize
+from stratalog.llm.common import beside, byte_slices, documents, hash_sample, labels, materialize, tidy
 
 NAMES = ("length", "upper", "digit", "symbol", "mark", "space", "word_length", "distinct", "repeat", "line_repeat", "bar")
 
@@ -87,7 +87,7 @@ def fit(docs: DataFrame, lab: DataFrame, rows: int = 6000) -> Model | None:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"x": pa.array([statistics(t or "") for t in b.column("text").to_pylist()], pa.list_(pa.float64())), "y": b.column("quality").cast(pa.int32())})
 
-    got = train.mapInArrow(measure, "x array<double>, y int").collect()
+    got = train.mapInArrow(tidy(measure), "x array<double>, y int").collect()
     y = np.array([r.y for r in got], float)
     if len(set(y.tolist())) < 2:
         return None
@@ -115,7 +115,7 @@ def evidence(docs: DataFrame, model: Model | None, host: Column, path: Column) -
                 p = model.probability(np.array([statistics(t or "") for t in b.column("text").to_pylist()]))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "__p"])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("__p", T.DoubleType())]))
+    return base.mapInArrow(tidy(run), T.StructType([*base.schema.fields, T.StructField("__p", T.DoubleType())]))
 
 
 #: Bounds of a prior's strength, in documents.

@@ -74,6 +74,27 @@ def brute_base(t):
     return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
 
 
+def test_tidy():
+    """A task's memory goes back to the system when it ends, also below blocks that stay in use."""
+    from stratalog.llm.common import tidy
+
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(l.split()[1]) for l in f if l.startswith("Anonymous")) / 1024
+
+    pinned, most = [], []
+
+    def run(batches):
+        for b in batches:
+            held = [bytes([b]) * 600 for _ in range(300_000)]
+            pinned.append(held[-1])
+            most.append(anonymous())
+            yield len(held)
+
+    assert list(tidy(run)(iter([1, 2]))) == [300_000] * 2
+    assert anonymous() < max(most) - 150
+
+
 def test_secrets(spark, docs, odd):
     from stratalog.llm import secrets
 
