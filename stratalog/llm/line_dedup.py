@@ -8,7 +8,10 @@ the hashes are XORs over (word, place from the near end). Two lines within the b
 a key every line is compared with the earliest one alone, so no pairs are spelled out, and a line goes if
 an earlier one matches: exact for this rule, as all lines of a key lie within the bound of each other.
 A match is verified on the words before it counts. With `near_chars`, shorter lines of that many
-characters or more do the same with characters in place of words: one inserted, deleted or replaced.
+characters or more do the same with characters in place of words: one inserted, deleted or replaced. A line
+of `near_words` words and one of a word less match then by the measure of either: within one word, or within one
+character where both have `near_chars`. Two of the shorter ones may share a key of words without a match, so
+here each line meets the earliest of the other number of words.
 
 Only lines that could match emit variants: one edit leaves the first or the last half of the shorter
 line intact, so a line whose halves (for its own length and one less) no other different line shares
@@ -17,7 +20,7 @@ is out. Counting keys before variants keeps the shuffle to a few numbers per lin
 Edge cases: null texts stay null and empty texts empty; blank lines and those under `min_words` are never dropped; equal
 rows (same document and line number) count as one place, so both stay; a line repeated in one document
 stays once; an empty table gives an empty result; extra columns are kept, except that n_lines, n_exact and n_near
-replace those of the same name; rows without an id come first in the order and keep all their lines.
+replace those of the same name; rows without an id come first in the order and keep all their lines, which other rows' lines are held against.
 """
 from __future__ import annotations
 
@@ -59,17 +62,29 @@ def by_chars(n: Column, near_words: int, near_chars: int | None) -> Column:
     return F.lit(False) if near_chars is None else n < near_words
 
 
+def lines_of(docs: DataFrame, key: str) -> DataFrame:
+    # To explode a column of arrays would make Spark filter by it and so split twice.
+    return plain(docs, key).select("id", F.posexplode(F.split("t", "\n")).alias("pos", "line")).select("id", "pos", F.trim("line").alias("norm"))
+
+
+def hashes() -> list[Column]:
+    return [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), F.col("norm")).alias("h2")]
+
+
 def keyed(docs: DataFrame, key: str, min_words: int, near_words: int, near_chars: int | None) -> DataFrame:
     """id, pos, h1, h2 (two hashes of the words) and halves (where near matches count) of each line that counts."""
-    # To explode a column of arrays would make Spark filter by it and so split twice.
-    t = plain(docs, key).select("id", F.posexplode(F.split("t", "\n")).alias("pos", "line")).select("id", "pos", F.trim("line").alias("norm"))
+    t = lines_of(docs, key)
     # The filter moves below the trimming: as a comparison it costs less there than a count.
     t = (t.where("norm != ''") if min_words == 1 else t).withColumn("n", n_words(F.col("norm")))
     t = t if min_words == 1 else t.where(F.col("n") >= min_words)
     near = F.when(F.col("n") >= near_words, halves_of_words())
     if near_chars is not None:
-        near = F.when(by_chars(F.col("n"), near_words, near_chars) & (F.length("norm") >= near_chars), halves_of_chars()).otherwise(near)
-    return t.select("id", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), F.col("norm")).alias("h2"), near.alias("halves"))
+        # Lines at the border of the two measures have halves by both.
+        none = F.array().cast("array<bigint>")
+        in_words = F.when(F.col("n") >= near_words - 1, halves_of_words()).otherwise(none)
+        in_chars = F.when((F.col("n") <= near_words) & (F.length("norm") >= near_chars), halves_of_chars()).otherwise(none)
+        near = F.concat(in_words, in_chars)
+    return t.select("id", "pos", *hashes(), near.alias("halves"))
 
 
 def halves(n: Column, tag: str, first, last) -> Column:
@@ -109,10 +124,9 @@ def running_of_many(t: DataFrame, *names: str) -> DataFrame:
     return t.withColumns({h: F.concat(F.array(F.lit(0).cast("long")), whole(h)) for h in names})
 
 
-def variants(suspects: DataFrame) -> DataFrame:
-    """h1, h2, id, pos, key: the deletion neighbourhood of each line."""
+def variants(words: DataFrame, chars: DataFrame) -> DataFrame:
+    """h1, h2, id, pos, key: the deletion neighbourhood of each line, by words and by characters."""
     size, n = F.length("norm"), n_words(F.col("norm"))
-    words, chars = suspects.where("not chars"), suspects.where("chars")
     # A line of MOST_CHARS has both kinds of keys: those that shorter ones have, and those of longer ones.
     found = [of_units(words.where(n <= CHUNK), " ", False), of_units(words.where(n > CHUNK), " ", True)]
     found += [of_chars(chars.where(size <= MOST_CHARS)), of_units(chars.where(size >= MOST_CHARS), "", True)]
@@ -151,6 +165,21 @@ def within_one(x: Column, y: Column) -> Column:
     return (F.abs(F.size(x) - F.size(y)) <= 1) & F.when(F.size(x) == F.size(y), rest(x, 1) == rest(y, 1)).when(F.size(x) > F.size(y), rest(x, 1) == rest(y, 0)).otherwise(rest(x, 0) == rest(y, 1))
 
 
+def across(suspects: DataFrame, near_words: int, near_chars: int) -> tuple[DataFrame, ...]:
+    """h1, h2, g1, g2: lines of near_words words, or one less, and the earlier ones of the other number that share a key; tables to discard."""
+    edge = suspects.withColumn("n", n_words(F.col("norm"))).where(F.col("n").between(near_words - 1, near_words))
+    parts = edge.select("h1", "h2", "n", F.explode(F.concat(halves_of_words(), halves_of_chars())).alias("half"))
+    shared = parts.groupBy("half").agg(F.min("n").alias("less"), F.max("n").alias("more")).where("less < more").select("half")
+    edge = edge.join(parts.join(shared, "half").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    # The number of words goes with the place, after it in the order.
+    edge = materialize(edge.withColumn("pos", F.struct("pos", "n")), "edge")
+    var = materialize(variants(edge, edge.where(F.length("norm") >= near_chars)), "border")
+    place, less = F.struct("id", "pos", "h1", "h2"), F.col("pos.n") < near_words
+    firsts = var.groupBy("key").agg(F.min(F.when(less, place)).alias("less"), F.min(F.when(~less, place)).alias("more")).where("less is not null and more is not null")
+    met = var.join(firsts, "key").select("h1", "h2", place.alias("place"), F.when(less, F.col("more")).otherwise(F.col("less")).alias("first"))
+    return met.where("first < place").select("h1", "h2", F.col("first.h1").alias("g1"), F.col("first.h2").alias("g2")), edge, var
+
+
 def near_matches(docs: DataFrame, halves_of: DataFrame, key: str, near_words: int = NEAR_WORDS, near_chars: int | None = None) -> DataFrame:
     """h1, h2 of different lines for which an earlier line lies within the bound."""
     # Tables that are joined by key are written first: Spark then splits a hot one's rows over tasks.
@@ -160,20 +189,31 @@ def near_matches(docs: DataFrame, halves_of: DataFrame, key: str, near_words: in
     wanted = places.groupBy("id").agg(F.collect_list(F.struct("pos", "h1", "h2")).alias("at"))
     texts = plain(docs, key).select("id", F.split("t", "\n").alias("ls")).join(wanted, "id").select("id", "ls", F.explode("at").alias("p"))
     w = texts.select("id", F.col("p.pos").alias("pos"), F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"), F.trim(F.coalesce(F.get("ls", F.col("p.pos")), F.lit(""))).alias("norm"))
+    # Rows without an id meet in no join by it: their lines are found by their hashes.
+    bare = lines_of(docs.where(F.col(key).isNull()), key).select("id", "pos", *hashes(), "norm")
+    w = w.unionByName(bare.join(places.where("id is null").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select(w.columns))
     full = w.select("id", "pos", "h1", "h2", by_chars(n_words(F.col("norm")), near_words, near_chars).alias("chars"), "norm")
     # Rows of one id and different texts: a line is only looked for where it is.
     suspects = materialize(full.where(F.xxhash64("norm") == F.col("h1")).dropDuplicates(["h1", "h2"]), "lines")
-    var = variants(suspects)
+    var = variants(suspects.where("not chars"), suspects.where("chars").where(F.length("norm") >= (near_chars or 0)))
     groups = materialize(var.groupBy("key").agg(F.min(F.struct("id", "pos", "h1", "h2")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "groups")
     few = groups.count() <= MOST_GROUPS
-    links = var.join(F.broadcast(groups) if few else groups, "key").where((F.col("h1") != F.col("first.h1")) | (F.col("h2") != F.col("first.h2"))).select("h1", "h2", F.col("first.h1").alias("g1"), F.col("first.h2").alias("g2")).distinct()
+    links = var.join(F.broadcast(groups) if few else groups, "key").where((F.col("h1") != F.col("first.h1")) | (F.col("h2") != F.col("first.h2"))).select("h1", "h2", F.col("first.h1").alias("g1"), F.col("first.h2").alias("g2"))
+    made = ()
+    if near_chars is not None:
+        more, *made = across(suspects, near_words, near_chars)
+        links = links.unionByName(more)
+    links = links.distinct()
     mine = suspects.select("h1", "h2", "chars", F.col("norm").alias("x"))
     theirs = suspects.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("norm").alias("y"), F.col("chars").alias("c"))
-    both = links.join(mine, ["h1", "h2"]).join(theirs, ["g1", "g2"]).where(F.col("chars") == F.col("c"))
+    both = links.join(mine, ["h1", "h2"]).join(theirs, ["g1", "g2"])
     few, many = F.levenshtein("x", "y", 1) >= 0, within_one(F.split("x", ""), F.split("y", ""))
-    near = F.when(F.col("chars"), F.when(F.length("x") <= MOST_CHARS, few).otherwise(many)).otherwise(within_one(F.split("x", " "), F.split("y", " ")))
+    in_chars = F.when(F.length("x") <= MOST_CHARS, few).otherwise(many)
+    in_words = within_one(F.split("x", " "), F.split("y", " "))
+    either = in_words | ((F.least(F.length("x"), F.length("y")) >= (near_chars or 0)) & in_chars)
+    near = F.when(F.col("chars") != F.col("c"), either).when(F.col("chars"), in_chars).otherwise(in_words)
     found = materialize(both.where(near).select("h1", "h2").distinct(), "near")
-    discard(shared, suspects, groups)
+    discard(shared, suspects, groups, *made)
     return found
 
 
