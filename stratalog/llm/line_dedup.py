@@ -89,10 +89,10 @@ def keyed(docs: DataFrame, key: str, min_words: int, near_words: int, near_chars
 
 def halves(n: Column, tag: str, first, last) -> Column:
     """Keys of the first and last half, for the line's own length and one less. first(count), last(count): units of the line."""
-    def of(s: Column) -> list[Column]:
-        k = F.floor(s / 2).cast("int")
-        return [F.xxhash64(F.lit("first" + tag), s, first(k)), F.xxhash64(F.lit("last" + tag), s, last(s - k))]
-    return F.array(*of(n), *of(n - 1))
+    # Of a length of 2 k these are the first k and k - 1 and the last k; of 2 k + 1 the first k and the last k and k + 1.
+    k, odd = F.floor(n / 2).cast("int"), n % 2 == 1
+    start, end = (lambda c: F.xxhash64(F.lit("first" + tag), first(c))), (lambda c: F.xxhash64(F.lit("last" + tag), last(c)))
+    return F.array(start(k), end(k), F.when(odd, end(k + 1)).otherwise(start(k - 1)))
 
 
 def halves_of_words() -> Column:
@@ -190,8 +190,10 @@ def near_matches(docs: DataFrame, halves_of: DataFrame, key: str, near_words: in
     texts = plain(docs, key).select("id", F.split("t", "\n").alias("ls")).join(wanted, "id").select("id", "ls", F.explode("at").alias("p"))
     w = texts.select("id", F.col("p.pos").alias("pos"), F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"), F.trim(F.coalesce(F.get("ls", F.col("p.pos")), F.lit(""))).alias("norm"))
     # Rows without an id meet in no join by it: their lines are found by their hashes.
-    bare = lines_of(docs.where(F.col(key).isNull()), key).select("id", "pos", *hashes(), "norm")
-    w = w.unionByName(bare.join(places.where("id is null").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select(w.columns))
+    lost = halves_of.where("id is null")
+    if not lost.isEmpty():
+        bare = lines_of(docs.where(F.col(key).isNull()), key).select("id", "pos", *hashes(), "norm")
+        w = w.unionByName(bare.join(lost.join(shared, "half").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select(w.columns))
     full = w.select("id", "pos", "h1", "h2", by_chars(n_words(F.col("norm")), near_words, near_chars).alias("chars"), "norm")
     # Rows of one id and different texts: a line is only looked for where it is.
     suspects = materialize(full.where(F.xxhash64("norm") == F.col("h1")).dropDuplicates(["h1", "h2"]), "lines")
