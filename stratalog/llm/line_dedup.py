@@ -15,7 +15,9 @@ here each line meets the earliest of the other number of words.
 
 Only lines that could match emit variants: one edit leaves the first or the last half of the shorter
 line intact, so a line whose halves (for its own length and one less) no other different line shares
-is out. Counting keys before variants keeps the shuffle to a few numbers per line.
+is out. Those that are left are cut into PARTS, for their own length and for one more: one edit changes one part of
+the longer line, so a line emits the variants of a part only where another line agrees in all the other parts.
+Counting keys before variants keeps the shuffle to a few numbers per line.
 
 Edge cases: null texts stay null and empty texts empty; blank lines and those under `min_words` are never dropped; equal
 rows (same document and line number) count as one place, so both stay; a line repeated in one document
@@ -38,19 +40,24 @@ ALL_WORDS, NEAR_CHARS = 1, 20
 #: Characters of a line under NEAR_WORDS up to which its variants are hashed as they are, which takes the square of its length;
 #: from this length on running XORs over its characters do the same in linear time.
 MOST_CHARS = 400
-#: Words or characters up to which a running XOR is made at one go; longer ones are put together from parts of that many.
+#: Words of a line up to which its variants are hashed as they are. Longer running XORs, over words or characters, are put together
+#: from parts of that many.
 CHUNK = 256
+#: Parts of a line of which all but one have to agree with another line's before it emits that one's variants.
+PARTS = 8
 #: Keys of several lines up to which their table is broadcast (about 10 MB); beyond it the planner deals the join.
 MOST_GROUPS = 200_000
 
 
-def plain(docs: DataFrame, key: str) -> DataFrame:
-    """id, t: each text with single blanks for white space but line ends; its lines, trimmed, are the words parted by blanks."""
-    blank = F.col("text")
+def plain(docs: DataFrame, key: str, *more: str) -> DataFrame:
+    """id, more, t: each text with single blanks for white space but line ends; its lines, trimmed, are the words parted by blanks."""
+    text = blank = F.col("text")
     for c in "\t\v\f\r":
         blank = F.replace(blank, F.lit(c), F.lit(" "))
-    t = docs.select(F.col(key).alias("id"), blank.alias("t"))
-    return t.select("id", F.when(F.contains("t", F.lit("  ")), F.regexp_replace("t", " {2,}", " ")).otherwise(F.col("t")).alias("t"))
+    # To look for a character costs a fraction of replacing it, even where there is none.
+    odd = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in "\t\v\f\r"])
+    t = docs.select(F.col(key).alias("id"), *more, F.when(odd, blank).otherwise(text).alias("t"))
+    return t.select("id", *more, F.when(F.contains("t", F.lit("  ")), F.regexp_replace("t", " {2,}", " ")).otherwise(F.col("t")).alias("t"))
 
 
 def n_words(norm: Column) -> Column:
@@ -95,14 +102,60 @@ def halves(n: Column, tag: str, first, last) -> Column:
     return F.array(start(k), end(k), F.when(odd, end(k + 1)).otherwise(start(k - 1)))
 
 
+def first_chars(k: Column) -> Column:
+    return F.substr("norm", F.lit(1), k)
+
+
+def last_chars(k: Column) -> Column:
+    return F.substr("norm", F.length("norm") - k + 1, k)
+
+
 def halves_of_words() -> Column:
     ends = lambda k: F.call_function("substring_index", F.col("norm"), F.lit(" "), k)
     return halves(F.col("n"), "", ends, lambda k: ends(-k))
 
 
 def halves_of_chars() -> Column:
-    n = F.length("norm")
-    return halves(n, " chars", lambda k: F.substr("norm", F.lit(1), k), lambda k: F.substr("norm", n - k + 1, k))
+    return halves(F.length("norm"), " chars", first_chars, last_chars)
+
+
+def parts(lines: DataFrame, n: Column, tag: str, first, last) -> DataFrame:
+    """h1, h2, part (hash of all of a line of n units but units lo to hi), lo, hi, gap: for its own length, and with a gap put in for one more."""
+    at = lines.select("h1", "h2", "norm", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(2 * PARTS - 1))).alias("j"))
+    at = at.select("h1", "h2", "norm", (F.col("j") % PARTS).alias("j"), (F.col("j") >= PARTS).alias("gap"), (F.col("n") + F.floor(F.col("j") / PARTS)).alias("n"))
+    end = lambda j: F.floor(F.col("n") * j / PARTS).cast("int")
+    at = at.select("h1", "h2", "norm", "j", "gap", "n", end(F.col("j")).alias("lo"), end(F.col("j") + 1).alias("hi")).where("lo < hi")
+    rest = F.xxhash64(F.lit("part" + tag), "n", "j", first(F.col("lo")), last((F.col("n") - F.col("hi")).cast("int")))
+    return at.select("h1", "h2", rest.alias("part"), "lo", "hi", "gap")
+
+
+def worded(lines: DataFrame) -> DataFrame:
+    """lines with an array of words as norm: parts of it cost less than parts of the text that are words."""
+    return lines.withColumn("norm", F.split("norm", " "))
+
+
+def spotted(suspects: DataFrame, near_chars: int | None) -> DataFrame:
+    """The suspects that agree with another one in all parts but one, and spots: from, to and kind (gap or not) of the variants that count."""
+    words, chars = suspects.where("not chars"), suspects.where("chars").where(F.length("norm") >= (near_chars or 0))
+    n = F.size("norm")
+    cut = parts(worded(words), n, "", lambda k: F.slice("norm", F.lit(1), k), lambda k: F.slice("norm", n - k + 1, k))
+    cut = materialize(cut.unionByName(parts(chars, F.length("norm"), " chars", first_chars, last_chars)), "parts")
+    shared = cut.groupBy("part").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("part")
+    spots = cut.join(shared, "part").groupBy("h1", "h2").agg(F.collect_list(F.struct("lo", "hi", "gap")).alias("spots"))
+    found = materialize(suspects.join(spots, ["h1", "h2"]), "spots")
+    discard(cut)
+    return found
+
+
+def everywhere(n: Column) -> Column:
+    """spots of all variants of a line of n units."""
+    spot = lambda hi, gap: F.struct(F.lit(0).alias("lo"), hi.alias("hi"), F.lit(gap).alias("gap"))
+    return F.array(spot(n, False), spot(n + 1, True))
+
+
+def places_of_spots() -> Column:
+    """Array of i and gap: each place in the spots."""
+    return F.flatten(F.transform("spots", lambda s: F.transform(F.sequence(s["lo"], s["hi"] - 1), lambda i: F.struct(i.alias("i"), s["gap"].alias("gap")))))
 
 
 def running(hashes: Column) -> Column:
@@ -125,37 +178,33 @@ def running_of_many(t: DataFrame, *names: str) -> DataFrame:
 
 
 def variants(words: DataFrame, chars: DataFrame) -> DataFrame:
-    """h1, h2, id, pos, key: the deletion neighbourhood of each line, by words and by characters."""
+    """h1, h2, id, pos, key: the deletion neighbourhood of each line at its spots, by words and by characters."""
     size, n = F.length("norm"), n_words(F.col("norm"))
-    # A line of MOST_CHARS has both kinds of keys: those that shorter ones have, and those of longer ones.
-    found = [of_units(words.where(n <= CHUNK), " ", False), of_units(words.where(n > CHUNK), " ", True)]
-    found += [of_chars(chars.where(size <= MOST_CHARS)), of_units(chars.where(size >= MOST_CHARS), "", True)]
+    # A line of CHUNK words or MOST_CHARS has both kinds of keys: those that shorter ones have, and those of longer ones.
+    found = [of_few(worded(words.where(n <= CHUNK)), "words", lambda i: F.slice("norm", F.lit(1), i), lambda i: F.slice("norm", i + 1, F.size("norm")))]
+    found += [of_few(chars.where(size <= MOST_CHARS), "chars", first_chars, lambda i: F.substr("norm", i + 1))]
+    found += [of_many(words.where(n >= CHUNK), " "), of_many(chars.where(size >= MOST_CHARS), "")]
     return reduce(DataFrame.unionByName, found)
 
 
-def of_units(suspects: DataFrame, mark: str, many: bool) -> DataFrame:
+def of_few(suspects: DataFrame, tag: str, first, past) -> DataFrame:
+    """Keys that hash the parts of a line as they are, which takes the square of its length. first(i), past(i): its first i units and those after."""
+    cut = suspects.select("h1", "h2", "id", "pos", "norm", F.explode(places_of_spots()).alias("p"))
+    i = F.col("p.i")
+    key = F.xxhash64(F.lit(tag), i, first(i), past(i + F.when(F.col("p.gap"), 0).otherwise(1)))
+    return cut.select("h1", "h2", "id", "pos", key.alias("key"))
+
+
+def of_many(suspects: DataFrame, mark: str) -> DataFrame:
     """Keys by running XORs over the units that mark parts: words, or characters if it is empty."""
-    split = suspects.select("h1", "h2", "id", "pos", F.split("norm", mark).alias("w"))
+    split = suspects.select("h1", "h2", "id", "pos", "spots", F.split("norm", mark).alias("w"))
     kind = "" if mark else " chars"
     before = F.transform("w", lambda x, i: F.xxhash64(F.lit("b" + kind), i, x))
     after = F.transform("w", lambda x, i: F.xxhash64(F.lit("a" + kind), F.size("w") - i, x))
-    if many:
-        sums = running_of_many(split.select("h1", "h2", "id", "pos", F.size("w").alias("n"), before.alias("b"), after.alias("a")), "b", "a")
-    else:
-        sums = split.select("h1", "h2", "id", "pos", F.size("w").alias("n"), running(before).alias("b"), running(after).alias("a"))
-    cut = sums.select("h1", "h2", "id", "pos", F.element_at("a", -1).alias("total"), F.posexplode(F.arrays_zip("b", "a", F.slice("a", F.lit(2), F.col("n") + 1).alias("past"))).alias("i", "z"))
-    gap = F.xxhash64("i", F.col("z.b"), F.col("total").bitwiseXOR(F.col("z.a")))
-    without = F.xxhash64("i", F.col("z.b"), F.col("total").bitwiseXOR(F.col("z.past")))
-    return cut.select("h1", "h2", "id", "pos", F.explode(F.array_compact(F.array(gap, F.when(F.col("z.past").isNotNull(), without)))).alias("key"))
-
-
-def of_chars(suspects: DataFrame) -> DataFrame:
-    # Lines of MOST_CHARS characters at most: their parts are hashed as they are.
-    i = F.col("i")
-    cut = suspects.select("h1", "h2", "id", "pos", "norm", F.explode(F.sequence(F.lit(0), F.length("norm"))).alias("i"))
-    head = F.substr("norm", F.lit(1), i)
-    key = lambda past: F.xxhash64(F.lit("chars"), i, head, F.substr("norm", i + past))
-    return cut.select("h1", "h2", "id", "pos", F.explode(F.array_compact(F.array(key(1), F.when(i < F.length("norm"), key(2))))).alias("key"))
+    sums = running_of_many(split.select("h1", "h2", "id", "pos", "spots", before.alias("b"), after.alias("a")), "b", "a")
+    past = lambda p: F.get("a", p["i"] + F.when(p["gap"], 0).otherwise(1))
+    key = lambda p: F.xxhash64(p["i"], F.get("b", p["i"]), F.element_at("a", -1).bitwiseXOR(past(p)))
+    return sums.select("h1", "h2", "id", "pos", F.explode(F.transform(places_of_spots(), key)).alias("key"))
 
 
 def within_one(x: Column, y: Column) -> Column:
@@ -173,7 +222,8 @@ def across(suspects: DataFrame, near_words: int, near_chars: int) -> tuple[DataF
     edge = edge.join(parts.join(shared, "half").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
     # The number of words goes with the place, after it in the order.
     edge = materialize(edge.withColumn("pos", F.struct("pos", "n")), "edge")
-    var = materialize(variants(edge, edge.where(F.length("norm") >= near_chars)), "border")
+    chars = edge.where(F.length("norm") >= near_chars).withColumn("spots", everywhere(F.length("norm")))
+    var = materialize(variants(edge.withColumn("spots", everywhere(F.col("n"))), chars), "border")
     place, less = F.struct("id", "pos", "h1", "h2"), F.col("pos.n") < near_words
     firsts = var.groupBy("key").agg(F.min(F.when(less, place)).alias("less"), F.min(F.when(~less, place)).alias("more")).where("less is not null and more is not null")
     met = var.join(firsts, "key").select("h1", "h2", place.alias("place"), F.when(less, F.col("more")).otherwise(F.col("less")).alias("first"))
@@ -187,7 +237,9 @@ def near_matches(docs: DataFrame, halves_of: DataFrame, key: str, near_words: in
     places = halves_of.join(shared, "half").select("h1", "h2", "id", "pos").distinct()
     # The suspects' words come from their documents: one row per document, not per line.
     wanted = places.groupBy("id").agg(F.collect_list(F.struct("pos", "h1", "h2")).alias("at"))
-    texts = plain(docs, key).select("id", F.split("t", "\n").alias("ls")).join(wanted, "id").select("id", "ls", F.explode("at").alias("p"))
+    # Only texts that are wanted are worked on, so the join comes first.
+    found = docs.select(F.col(key).alias("id"), "text").join(wanted, "id")
+    texts = plain(found, "id", "at").select("id", F.split("t", "\n").alias("ls"), "at").select("id", "ls", F.explode("at").alias("p"))
     w = texts.select("id", F.col("p.pos").alias("pos"), F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"), F.trim(F.coalesce(F.get("ls", F.col("p.pos")), F.lit(""))).alias("norm"))
     # Rows without an id meet in no join by it: their lines are found by their hashes.
     lost = halves_of.where("id is null")
@@ -197,7 +249,8 @@ def near_matches(docs: DataFrame, halves_of: DataFrame, key: str, near_words: in
     full = w.select("id", "pos", "h1", "h2", by_chars(n_words(F.col("norm")), near_words, near_chars).alias("chars"), "norm")
     # Rows of one id and different texts: a line is only looked for where it is.
     suspects = materialize(full.where(F.xxhash64("norm") == F.col("h1")).dropDuplicates(["h1", "h2"]), "lines")
-    var = variants(suspects.where("not chars"), suspects.where("chars").where(F.length("norm") >= (near_chars or 0)))
+    close = spotted(suspects, near_chars)
+    var = materialize(variants(close.where("not chars"), close.where("chars")), "variants")
     groups = materialize(var.groupBy("key").agg(F.min(F.struct("id", "pos", "h1", "h2")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "groups")
     few = groups.count() <= MOST_GROUPS
     links = var.join(F.broadcast(groups) if few else groups, "key").where((F.col("h1") != F.col("first.h1")) | (F.col("h2") != F.col("first.h2"))).select("h1", "h2", F.col("first.h1").alias("g1"), F.col("first.h2").alias("g2"))
@@ -215,7 +268,7 @@ def near_matches(docs: DataFrame, halves_of: DataFrame, key: str, near_words: in
     either = in_words | ((F.least(F.length("x"), F.length("y")) >= (near_chars or 0)) & in_chars)
     near = F.when(F.col("chars") != F.col("c"), either).when(F.col("chars"), in_chars).otherwise(in_words)
     found = materialize(both.where(near).select("h1", "h2").distinct(), "near")
-    discard(shared, suspects, groups, *made)
+    discard(shared, suspects, close, var, groups, *made)
     return found
 
 

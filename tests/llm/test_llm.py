@@ -512,6 +512,36 @@ def test_line_dedup_of_long_lines(spark, tmp_path):
         assert n > len(lines) // 3 and got == want
 
 
+def test_line_dedup_emits_variants_only_where_the_rest_agrees(spark, monkeypatch):
+    """Lines that share a half but differ in two places emit nothing, near ones the variants of a part; an edit is found at any place."""
+    from stratalog.llm import line_dedup
+
+    made, variants = [], line_dedup.variants
+    monkeypatch.setattr(line_dedup, "variants", lambda *a: made.append(variants(*a)) or made[-1])
+    emitted = lambda: sum(df.count() for df in made)
+    monkeypatch.setattr(line_dedup, "discard", lambda *a: None)
+    far = [" ".join([f"w{j}" for j in range(32)] + [f"x{i}"] + [f"v{j}" for j in range(20)] + [f"y{i}"] + ["end"] * 10) for i in range(30)]
+    got = line_dedup.dedup_lines(frame(spark, far)).collect()
+    assert sum(r.n_near for r in got) == 0 and emitted() == 0
+    made.clear()
+    n = 64
+    base = [f"u{j}" for j in range(n)]
+    pair = [" ".join(base), " ".join(base[:40] + ["other"] + base[41:])]
+    got = line_dedup.dedup_lines(frame(spark, pair)).collect()
+    assert sum(r.n_near for r in got) == 1 and 0 < emitted() < 2 * n
+    for near_chars, mark, sizes in ((None, " ", (10, 15, 16, 17, 31)), (20, "", (20, 23, 24, 25))):
+        texts = []
+        for n in sizes:
+            b = [f"{n}b{j}" for j in range(n)] if mark else [chr(0x4E00 + 100 * n + j) for j in range(n)]
+            edits = [b[:i] + e + b[i + 1 :] for i in range(n) for e in ([], ["9"], [b[i], "9"])]
+            texts.append("\n".join(mark.join(w) for w in [b, *edits] if near_chars is None or len(w) >= near_chars))
+        rows = line_dedup.dedup_lines(frame(spark, texts), near_chars=near_chars, min_words=1).collect()
+        # A line cut to 9 words counts in words or not at all; all others go for the first.
+        for r in rows:
+            short = [] if near_chars else [l for l in texts[r.doc_id].split("\n") if l.count(" ") < 9]
+            assert r.text == "\n".join([texts[r.doc_id].split("\n")[0], *short])
+
+
 def test_line_dedup_of_white_space(spark, tmp_path):
     """Any ASCII white space parts words; tabs, line feeds of other systems and runs of blanks make no other line."""
     from stratalog.llm import line_dedup
