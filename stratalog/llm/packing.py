@@ -33,6 +33,8 @@ SHARD = 16000
 CACHE, BLOCK = 400_000, 1 << 20
 #: Contractions are rare enough to leave such texts to the tokenizer's own splitter.
 CONTRACTION = re.compile("'(?:[stmd]|re|ve|ll)")
+#: Runs of white space that the whole-text splitter's stack may not hold (it fails between 500,000 and a million).
+DEEP = re.compile(r"\s{100000}")
 
 
 def _classes() -> np.ndarray:
@@ -104,7 +106,8 @@ class Encoder:
 
     Latin-1 texts are split here, many at a time, and the ids of pre-tokens are cached; the vocabulary's
     ranks encode new ones in one call, a NUL between two. Other texts go whole to the tokenizer, and
-    those that hold an added token of the vocabulary (<|endoftext|>) to the one of its own file.
+    those that hold an added token of the vocabulary (<|endoftext|>) or a very long run of white space
+    to the one of its own file.
     """
 
     def __init__(self, rank_file: str, pattern: str, vocabulary: str):
@@ -116,7 +119,7 @@ class Encoder:
         with open(vocabulary, encoding="utf-8") as f:
             added = [x["content"] for x in json.load(f).get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.own = Tokenizer.from_file(vocabulary) if added else None
+        self.own = Tokenizer.from_file(vocabulary)
 
         with open(rank_file, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -132,7 +135,7 @@ class Encoder:
         easy, raws = [], []
         for i, t in enumerate(texts):
             if self.added is not None and self.added.search(t):
-                out[i] = np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4")
+                out[i] = self._own(t)
                 continue
             try:
                 raw = t.encode("latin-1")
@@ -144,7 +147,13 @@ class Encoder:
         if easy:
             for i, ids in zip(easy, self._easy(b"\0".join(raws) + b"\0"), strict=True):
                 out[i] = ids
-        return [np.array(self.whole.encode_ordinary(t), "<u4") if ids is None else ids for t, ids in zip(texts, out, strict=True)]
+        return [self._whole(t) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
+
+    def _own(self, text: str) -> np.ndarray:
+        return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _whole(self, text: str) -> np.ndarray:
+        return self._own(text) if DEEP.search(text) else np.array(self.whole.encode_ordinary(text), "<u4")
 
     def _easy(self, raw: bytes) -> list[np.ndarray]:
         at = split(raw)
@@ -193,7 +202,7 @@ def blocks(texts) -> Iterator[list[int]]:
 
 
 def tokenize(docs: DataFrame, length: int = LENGTH, rank_file: str | None = None, pattern: str | None = None, vocabulary: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32.
+    """One row per piece: doc_id, piece (from 0), start, length, ids_crc32.
 
     vocabulary: the tokenizer's own file; rank_file: the ranks of that vocabulary (the same ids); pattern: its splitter.
     """
@@ -212,7 +221,7 @@ def tokenize(docs: DataFrame, length: int = LENGTH, rank_file: str | None = None
             for block in blocks(batch.column("text")):
                 for i, ids in zip(block, encoder.encode([batch.column("text")[i].as_py() or "" for i in block]), strict=True):
                     raw = ids.tobytes() + end
-                    for k, (s, n) in enumerate(pieces(len(ids) + 1, length), 1):
+                    for k, (s, n) in enumerate(pieces(len(ids) + 1, length)):
                         for c, v in zip(cols, (ids_of[i], k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])), strict=True):
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -316,6 +316,30 @@ def test_packing(spark, docs, odd):
     assert packing.pack_documents(none_of(docs)).count() == 0
 
 
+def test_pieces_count_from_zero(spark):
+    from stratalog.llm import packing
+
+    rows = packing.pack_documents(frame(spark, ["x", None, "a " * 2000 + "b"])).collect()
+    got = {(r.doc_id, r.piece): (r.start, r.length) for r in rows}
+    of = sorted({d for d, _ in got})
+    long = next(d for d in of if (d, 1) in got)
+    assert {k for k in got if k[0] != long} == {(d, 0) for d in of if d != long}
+    n = sum(r.length for r in rows if r.doc_id == long)
+    assert [got[long, k] for k in range(-(-n // 1024))] == [(s, m) for s, m in packing.pieces(n)]
+
+
+def test_long_runs_of_white_space_are_encoded():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from stratalog.llm.packing import Encoder
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, vocabulary)
+    texts = ["\u4e2d" + " " * 1_200_000 + "x", "it's" + "\n" * 1_200_000]
+    assert [x.tolist() for x in encoder.encode(texts)] == [Tokenizer.from_file(vocabulary).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_sum_of_squares_rule():
     from stratalog.llm.packing import place
 
