@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from stratalog.errors import ExpressionError
 from stratalog.functions import exact, mixed
-from stratalog.functions.values import DATETIME, FLOAT, ebv, float_text, short
-from stratalog.operators.slots import Slot, key_of, timestamp, typed_prefix
+from stratalog.functions.values import FLOAT, ebv, float_text, short
+from stratalog.operators.slots import Slot, key_of, let, timestamp, typed_prefix
 from stratalog.plans.model import Expression, expression_variables
 from stratalog.sources.iri import ABSOLUTE, BAD
 from stratalog.terms import DIR_LANG_STRING, LANG_STRING, STRING, XSD, IRI, BNode, Literal, TripleTerm, Variable, key, term, variables
@@ -142,6 +142,8 @@ class Compiler:
         if op in ("+", "-", "*", "/"):
             return self.arithmetic(op, *args) if not keyed and ("double" in (args[0][0], args[1][0]) or self.digits(e) <= 38) else None
         found = self.of_terms(op, args, e.arguments)
+        if found is not None and keyed:
+            return found[0], mixed.bind(args, lambda xs: self.of_terms(op, xs, e.arguments)[1])
         return found if found is not None or keyed else self.call(op, args, e.arguments)
 
     @staticmethod
@@ -198,14 +200,7 @@ class Compiler:
         if keyed and op in ("YEAR", "MONTH", "DAY", "HOURS", "MINUTES"):
             return "integer", mixed.date_part(c, op)
         if keyed and op in ("TZ", "TIMEZONE"):
-            text = mixed.trimmed(c)
-            z = mixed.group(text, DATETIME, 9)
-            valid = (mixed.datatype(c) == "dateTime") & mixed.date_time(text).isNotNull()
-            n = mixed.zone(z)
-            if op == "TZ":
-                return "string", F.when(valid, F.when((n == 0) & (z != ""), "Z").otherwise(z))
-            span = F.concat(F.lit(typed_prefix("dayTimeDuration")), F.when(n < 0, "-").otherwise(""), F.lit("PT"), F.floor(F.abs(n) / 60).cast("string"), F.lit("H"), (F.abs(n) % 60).cast("string"), F.lit("M"))
-            return "key", F.when(valid & (z != ""), span)
+            return "string" if op == "TZ" else "key", mixed.zone_part(c, op)
         return self.of_strings(op, args, source) or self.cast(short(op), x) if len(args) == 1 else self.of_strings(op, args, source)
 
     def of_strings(self, op: str, args: list[Typed], source: tuple) -> Typed | None:
@@ -293,8 +288,7 @@ class Compiler:
         if name == "decimal" and kind == "integer":
             return "key", F.concat(F.lit(typed_prefix("decimal")), c.cast("string"))
         if name == "dateTime" and kind == "string":
-            text = F.trim(c, F.lit(mixed.BLANK))
-            return "key", F.when(mixed.date_time(text).isNotNull(), F.concat(F.lit(typed_prefix("dateTime")), text))
+            return "key", let(F.trim(c, F.lit(mixed.BLANK)), lambda text: F.when(mixed.constructed(name, text), F.concat(F.lit(typed_prefix(name)), text)))
         return None
 
     def choice(self, cond: object, yes: object, no: object) -> Typed | None:

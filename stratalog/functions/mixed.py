@@ -165,8 +165,14 @@ def boolean(x: Typed, strip: bool = False) -> Column:
     return F.when(datatype(c) == "boolean", F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False))
 
 
-def group(text: Column, pattern, k: int) -> Column:
-    return F.regexp_extract(text, java(pattern), k)
+def parts(text: Column, pattern, body) -> Column:
+    """body(g) with g(k) a group of the pattern over the whole text, "" if it took no part; NULL where it doesn't match.
+
+    The text is matched once: its groups come back marked off, and a text with the mark in it matches nothing.
+    """
+    n = pattern.groups
+    marked = F.regexp_replace(F.translate(text, "\x01", "?"), java(pattern), "".join(f"\x01${k}" for k in range(1, n + 1)))
+    return let(F.split(marked, "\x01"), lambda a: F.when(F.size(a) == n + 1, body(lambda k: F.get(a, lit(k)))))
 
 
 def zone(z: Column) -> Column:
@@ -175,14 +181,18 @@ def zone(z: Column) -> Column:
     return F.when(z.isin("", "Z"), 0).when(z.startswith("-"), -minutes).otherwise(minutes)
 
 
+def has_day(y: Column, m: Column, d: Column) -> Column:
+    """Whether a month has the day; y: the year, or its last four digits."""
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    return (d >= 1) & (d <= F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31))
+
+
 def day_number(y: Column, m: Column, d: Column) -> Column:
     """Days of the proleptic calendar (any fixed start); NULL for days that a month doesn't have."""
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    most = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
     s = F.when(m <= 2, y - 1).otherwise(y)  # years begin in March
     month = F.when(m > 2, m - 3).otherwise(m + 9)
     before = s * 365 + F.floor(s / 4) - F.floor(s / 100) + F.floor(s / 400) + F.floor((month * 153 + 2) / 5)
-    return F.when((y != 0) & (d >= 1) & (d <= most), (before + d).cast("bigint"))
+    return F.when((y != 0) & has_day(y, m, d), (before + d).cast("bigint"))
 
 
 def whole_number(text: Column) -> Column:
@@ -199,42 +209,70 @@ def moment(seconds: Column, frac: Column) -> Column:
     return F.when(seconds.isNotNull(), F.struct(seconds.cast("bigint").alias("at"), frac.alias("frac"), none.cast("bigint").alias("months"), none.cast("decimal(38,18)").alias("secs")))
 
 
-def clock(text: Column, pattern, k: int) -> Column:
+def clock(g, k: int) -> Column:
     """Seconds of the day; k is the group of the hour, k + 4 that of 24:00."""
-    g = lambda i: group(text, pattern, i).try_cast("int")
-    return F.when(group(text, pattern, k + 4) != "", 86400).otherwise(g(k) * 3600 + g(k + 1) * 60 + g(k + 2))
+    n = lambda i: g(i).try_cast("int")
+    return F.when(g(k + 4) != "", 86400).otherwise(n(k) * 3600 + n(k + 1) * 60 + n(k + 2))
 
 
-def date_of(text: Column, pattern) -> Column:
-    return day_number(whole_number(group(text, pattern, 1)), group(text, pattern, 2).try_cast("int"), group(text, pattern, 3).try_cast("int"))
+def date_of(g) -> Column:
+    ymd = F.struct(whole_number(g(1)).alias("y"), g(2).try_cast("int").alias("m"), g(3).try_cast("int").alias("d"))
+    return let(ymd, lambda p: day_number(p["y"], p["m"], p["d"]))
+
+
+def instant(g) -> Column:
+    """The moment of a dateTime's groups."""
+    return moment(date_of(g) * 86400 + clock(g, 4) - zone(g(9)) * 60, fraction(g(7)))
 
 
 def date_time(text: Column) -> Column:
-    at = date_of(text, DATETIME) * 86400 + clock(text, DATETIME, 4) - zone(group(text, DATETIME, 9)) * 60
-    return F.when(text.rlike(java(DATETIME)), moment(at, fraction(group(text, DATETIME, 7))))
+    return parts(text, DATETIME, instant)
 
 
 def date(text: Column) -> Column:
-    return F.when(text.rlike(java(DATE)), moment(date_of(text, DATE) * 86400 - zone(group(text, DATE, 4)) * 60, lit("")))
+    return parts(text, DATE, lambda g: moment(date_of(g) * 86400 - zone(g(4)) * 60, lit("")))
 
 
 def time(text: Column) -> Column:
-    at = clock(text, TIME, 1)
-    at = F.when(at == 86400, 0).otherwise(at) - zone(group(text, TIME, 6)) * 60
-    return F.when(text.rlike(java(TIME)), moment(at, fraction(group(text, TIME, 4))))
+    def of(g) -> Column:
+        at = clock(g, 1)
+        return moment(F.when(at == 86400, 0).otherwise(at) - zone(g(6)) * 60, fraction(g(4)))
 
+    return parts(text, TIME, of)
 
-def duration(name: Column, text: Column) -> Column:
-    g = lambda i: group(text, DURATION, i)
-    n = lambda i: F.coalesce(F.nullif(g(i), lit("")), lit("0")).try_cast("decimal(20,0)")
-    months = (n(2) * 12 + n(3)).cast("bigint")
-    seconds = F.coalesce(F.nullif(g(8), lit("")), lit("0")).try_cast("decimal(38,18)")
-    secs = ((n(4) * 24 + n(6)) * 3600 + n(7) * 60).try_cast("decimal(38,18)") + seconds
+
+def well_formed(name: Column, g) -> Column:
+    """Whether the groups of a duration are one of that datatype."""
     some = F.concat(g(2), g(3), g(4), g(6), g(7), g(8)) != ""
     allowed = F.when(name == "dayTimeDuration", (g(2) == "") & (g(3) == "")).when(name == "yearMonthDuration", (g(4) == "") & (g(5) == "")).otherwise(True)
-    sign = F.when(g(1) == "-", -1).otherwise(1)
-    value = F.struct(lit(None).cast("bigint").alias("at"), lit(None).cast("string").alias("frac"), (sign * months).cast("bigint").alias("months"), (sign * secs).cast("decimal(38,18)").alias("secs"))
-    return F.when(text.rlike(java(DURATION)) & some & (g(5) != "T") & allowed & months.isNotNull() & secs.isNotNull(), value)
+    return some & (g(5) != "T") & allowed
+
+
+def duration(name: Column, text: Column) -> Column:
+    def of(g) -> Column:
+        n = lambda i: F.coalesce(F.nullif(g(i), lit("")), lit("0")).try_cast("decimal(20,0)")
+        months = (n(2) * 12 + n(3)).cast("bigint")
+        seconds = F.coalesce(F.nullif(g(8), lit("")), lit("0")).try_cast("decimal(38,18)")
+        secs = ((n(4) * 24 + n(6)) * 3600 + n(7) * 60).try_cast("decimal(38,18)") + seconds
+        sign = F.when(g(1) == "-", -1).otherwise(1)
+        value = F.struct(lit(None).cast("bigint").alias("at"), lit(None).cast("string").alias("frac"), (sign * months).cast("bigint").alias("months"), (sign * secs).cast("decimal(38,18)").alias("secs"))
+        return F.when(well_formed(name, g) & months.isNotNull() & secs.isNotNull(), value)
+
+    return parts(text, DURATION, of)
+
+
+def constructed(name: str, text: Column) -> Column:
+    """Whether a dateTime, date, time or duration can be made of a text; those other than dateTimes of any length."""
+    if name == "dateTime":
+        return date_time(text).isNotNull()
+    if name == "date":
+        year = lambda g: F.substr(g(1), lit(-4)).try_cast("int")
+        valid = parts(text, DATE, lambda g: ~g(1).isin("0000", "-0000") & has_day(year(g), g(2).try_cast("int"), g(3).try_cast("int")))
+    elif name == "time":
+        return text.rlike(java(TIME))
+    else:
+        valid = parts(text, DURATION, lambda g: well_formed(lit(name), g))
+    return F.coalesce(valid, lit(False))
 
 
 def temporal(x: Typed) -> Column:
@@ -279,9 +317,21 @@ def both(x: Typed, y: Typed, of, compare) -> Column:
     return let(F.struct(of(x).alias("a"), of(y).alias("b")), compare)
 
 
+def bind(xs: list[Typed], body) -> Column:
+    """body(xs) with each key evaluated once. Without it a function of a function of a term names that term many times over,
+    at each step: Spark works that out for all rows, and copies the expression when it moves a filter."""
+    keyed = {f"k{i}": c for i, (k, c) in enumerate(xs) if k == "key"}
+    if not keyed:
+        return body(xs)
+    return let(F.struct(*[c.alias(n) for n, c in keyed.items()]), lambda z: body([(k, z[f"k{i}"] if k == "key" else c) for i, (k, c) in enumerate(xs)]))
+
+
 def order(x: Typed, y: Typed, swap: bool, strict: bool) -> Column:
     """x < y (strict) or x <= y; with swap, y before x. NULL where the two have no order."""
-    a, b = (y, x) if swap else (x, y)
+    return bind([y, x] if swap else [x, y], lambda xs: ordered(*xs, strict))
+
+
+def ordered(a: Typed, b: Typed, strict: bool) -> Column:
     out = lit(None).cast("boolean")
     hit = lambda r: r["less"] if strict else r["less"] | r["same"]
     if may(a, "string") and may(b, "string"):
@@ -371,8 +421,8 @@ def equal(x: Typed, y: Typed) -> Column:
     if x[0] == y[0] == "key":
         terms = lambda z: F.struct(facts(("key", z["a"])).alias("a"), facts(("key", z["b"])).alias("b"), z["alike"].alias("alike"), z["nested"].alias("nested"))
         return F.when(known, let(let(opened(x[1], y[1]), terms), judged))
-    whole = F.struct(facts(x).alias("a"), facts(y).alias("b"), lit(True).alias("alike"), lit(False).alias("nested"))
-    return F.when(known, let(whole, judged))
+    whole = lambda xs: let(F.struct(facts(xs[0]).alias("a"), facts(xs[1]).alias("b"), lit(True).alias("alike"), lit(False).alias("nested")), judged)
+    return F.when(known, bind([x, y], whole))
 
 
 def ebv(k: Column) -> Column:
@@ -431,14 +481,28 @@ def datatype_iri(x: Typed) -> Column:
 
 def date_part(k: Column, part: str) -> Column:
     """YEAR, MONTH, DAY, HOURS or MINUTES of dateTimes; 24:00 is the next day (of years up to 9999)."""
-    text = trimmed(k)
-    g = lambda i: group(text, DATETIME, i)
-    midnight = g(8) != ""
-    after = F.date_add(F.substr(text, lit(1), lit(10)).try_cast("date"), 1)
-    late = {"YEAR": F.year(after), "MONTH": F.month(after), "DAY": F.day(after), "HOURS": lit(0), "MINUTES": lit(0)}[part]
     at = {"YEAR": 1, "MONTH": 2, "DAY": 3, "HOURS": 4, "MINUTES": 5}[part]
-    plain_part = whole_number(g(at))
-    return F.when((datatype(k) == "dateTime") & date_time(text).isNotNull(), F.when(midnight, late.cast("bigint")).otherwise(plain_part))
+
+    def of(g) -> Column:
+        after = F.date_add(F.substr(F.concat_ws("-", g(1), g(2), g(3)), lit(1), lit(10)).try_cast("date"), 1)
+        late = {"YEAR": F.year(after), "MONTH": F.month(after), "DAY": F.day(after), "HOURS": lit(0), "MINUTES": lit(0)}[part]
+        return F.when(instant(g).isNotNull(), F.when(g(8) != "", late.cast("bigint")).otherwise(whole_number(g(at))))
+
+    return F.when(datatype(k) == "dateTime", parts(trimmed(k), DATETIME, of))
+
+
+def zone_part(k: Column, part: str) -> Column:
+    """TZ of dateTimes as text, or TIMEZONE as a key; NULL for a TIMEZONE that isn't given."""
+    def of(g) -> Column:
+        z, n = g(9), zone(g(9))
+        if part == "TZ":
+            out = F.when((n == 0) & (z != ""), "Z").otherwise(z)
+        else:
+            span = F.concat(lit(typed_prefix("dayTimeDuration")), F.when(n < 0, "-").otherwise(""), lit("PT"), F.floor(F.abs(n) / 60).cast("string"), lit("H"), (F.abs(n) % 60).cast("string"), lit("M"))
+            out = F.when(z != "", span)
+        return F.when(instant(g).isNotNull(), out)
+
+    return F.when(datatype(k) == "dateTime", parts(trimmed(k), DATETIME, of))
 
 
-__all__ = ["compatible", "date_part", "datatype_iri", "ebv", "equal", "joined", "like", "number", "order", "packed", "plain", "text_of", "unpacked"]
+__all__ = ["bind", "compatible", "constructed", "date_part", "datatype_iri", "ebv", "equal", "joined", "like", "number", "order", "packed", "plain", "text_of", "unpacked", "zone_part"]
