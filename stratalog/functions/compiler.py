@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratalog.errors import ExpressionError
 from stratalog.functions import exact, mixed
-from stratalog.functions.values import FLOAT, ebv, float_text, short
+from stratalog.functions.values import CONSTRUCTED, FLOAT, ebv, float_text, short
 from stratalog.operators.slots import Slot, key_of, let, timestamp, typed_prefix
 from stratalog.plans.model import Expression, expression_variables
 from stratalog.sources.iri import ABSOLUTE, BAD
@@ -287,7 +287,7 @@ class Compiler:
             return "key", F.when(text.rlike(mixed.java(FLOAT)), F.concat(F.lit(typed_prefix("double")), text))
         if name == "decimal" and kind == "integer":
             return "key", F.concat(F.lit(typed_prefix("decimal")), c.cast("string"))
-        if name == "dateTime" and kind == "string":
+        if name in CONSTRUCTED and kind == "string":
             return "key", let(F.trim(c, F.lit(mixed.BLANK)), lambda text: F.when(mixed.constructed(name, text), F.concat(F.lit(typed_prefix(name)), text)))
         return None
 

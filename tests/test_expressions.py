@@ -213,6 +213,10 @@ def held_against_exact(spark, texts, values):
             assert (r[f"o{k}"] and term(r[f"o{k}"])) == want, (t, r.s, want, r[f"o{k}"])
 
 
+def test_temporal_casts_of_texts_are_columns(spark):
+    held_against_exact(spark, [f"xsd:{t}(?s)" for t in ("date", "time", "duration", "dayTimeDuration")] + ["STR(xsd:date(SUBSTR(?s, 1, 10)))"], TIMES)
+
+
 def test_functions_of_made_dateTimes(spark):
     held_against_exact(spark, [f"{f}(xsd:dateTime(?s))" for f in ("STR", "TZ", "TIMEZONE", "YEAR", "MONTH", "DAY", "HOURS", "MINUTES")] + ["xsd:dateTime(?s) < xsd:dateTime(CONCAT(?s, \"\"))", "xsd:dateTime(?s) = xsd:dateTime(?s)"], DATETIMES + TIMES)
 
