@@ -451,10 +451,22 @@ class Compiler:
         """Columns that must all be true; a conjunction falls apart, each part by its best way."""
         if isinstance(e, Expression) and e.operator == "&&":
             return [c for k, a in enumerate(e.arguments) for c in self.condition(a, f"{site}&{k}")]
-        x = self.native(e)
-        c = as_ebv(x) if x is not None and x[1] is not None else None
+        c = self.truth(e)
         return [c if c is not None else self.by_batches(e, site, True)]
 
+    def truth(self, e: object) -> Column | None:
+        """A column that is true where e is; where e isn't, false or NULL, since both fail a condition."""
+        op = e.operator if isinstance(e, Expression) else None
+        if op in ("&&", "||"):
+            a, b = (self.truth(x) for x in e.arguments)
+            return None if a is None or b is None else a & b if op == "&&" else a | b
+        if op == "=":
+            pair = [self.native(x) for x in e.arguments]
+            if None not in pair and sorted(k for k, _ in pair) == ["key", "string"]:
+                return key_of(*pair[0]) == key_of(*pair[1])  # a plain string equals itself alone
+        x = self.native(e)
+        return as_ebv(x) if x is not None and x[1] is not None else None
+
     def by_batches(self, e: object, site: str, as_boolean: bool) -> Column:
         names = sorted(expression_variables(e) if not mints(e) else self.env, key=lambda v: v.value)
         context, kinds = self.context, [self.env[n].kind for n in names] if names else []

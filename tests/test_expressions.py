@@ -231,3 +231,18 @@ def test_plans_name_an_argument_few_times(spark, text):
     df = spark.createDataFrame([], "s string")
     kind, col = Compiler({Variable("s"): Slot("string", "s")}, Context()).value(expr(text), "x")
     assert size(df.select(col.alias("o"))) < 200_000
+
+
+def test_conditions_hold_texts_against_keys_alone(spark):
+    """A filter on a term that is one of several kinds: equality with a text reads no number or time."""
+    df = spark.createDataFrame([(key(t),) for t in [Literal("P"), Literal("P", "en"), Literal("Q"), IRI("P"), Literal("P", datatype=INT), Literal("1", datatype=INT), Literal("2024-01-01", datatype="urn:d")]], "k string")
+    env, context = {Variable("k"): Slot("key", "k")}, Context()
+    for text in ('?k = "P"', '?k = "P" || ?k > 0', '!(?k = "P")', '?k != "P" && ?k = "Q"'):
+        (col,) = [c for c in [Compiler(env, context).truth(expr(text))] if c is not None]
+        for r in df.select("k", col.alias("o")).collect():
+            try:
+                want = ebv(evaluate(expr(text), {Variable("k"): term(r.k)}, context, "x"))
+            except ExpressionError:
+                want = False
+            assert bool(r.o) == want, (text, r.k)
+    assert "regexp" not in df.where(Compiler(env, context).truth(expr('?k = "P"')))._jdf.queryExecution().analyzed().toString()
