@@ -644,6 +644,22 @@ def test_ngram_join_in_any_order(spark):
         assert {r.id: (r.n, r.component) for r in ngram_join.link(df).collect()} == want
 
 
+def test_shingles_in_many_buckets(spark):
+    """Buckets of 16 bits and more, as billions of shingles get, don't fit a signed number above 48 bits."""
+    from stratalog.llm import ngram_join
+
+    df = frame(spark, [" ".join(f"w{i % 7}x{k}" for k in range(60)) for i in range(12)])
+    common = np.unique(np.concatenate(ngram_join.shingle_sets([df.first().text])) >> np.uint64(64 - ngram_join.SKETCH_BITS)).astype(np.int64)[:5]
+    got = []
+    for bits in (12, 16, 18):
+        rows = ngram_join.shared_shingles(df, "doc_id", 5, common, bits).collect()
+        names = collections.defaultdict(list)
+        for r in rows:
+            names[r.tok].append((r.id, r.df))
+        got.append(sorted(sorted(x) for x in names.values()))
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_components(spark):
     from stratalog.llm.components import connected_components
 
